@@ -4,7 +4,12 @@ from __future__ import annotations
 
 
 def _load():
-    from jobmart.checks import registry, silver_checks  # noqa: F401
+    from jobmart.checks import (  # noqa: F401
+        gold_checks,
+        merge_checks,
+        registry,
+        silver_checks,
+    )
 
     return registry
 
