@@ -6,8 +6,10 @@ from __future__ import annotations
 def _load():
     from jobmart.checks import (  # noqa: F401
         gold_checks,
+        ingest_checks,
         merge_checks,
         registry,
+        serve_checks,
         silver_checks,
     )
 

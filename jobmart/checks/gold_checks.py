@@ -224,7 +224,7 @@ def mapping_quality(v):
 
 @check(
     "same_name_groups",
-    """SELECT lower(strip_accents(w)) AS word_key, count(*) AS spellings FROM
+    """SELECT replace(lower(strip_accents(w)), 'ß', 'ss') AS word_key, count(*) AS spellings FROM
  (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
  GROUP BY 1""",
 )
@@ -238,10 +238,10 @@ def same_name_groups(v):
     groups = words.distinct().groupBy(same_name(F.col("w")).alias("key")).agg(
         F.count(F.lit(1)).alias("spellings"), F.min("w").alias("w")
     )
-    # print the key the way the checking engine does: lower case, accents taken off
-    decomposed = F.lower(F.collate("w", "UTF8_BINARY"))
+    # print the key the way the checking engine does: lower case, accents off, ss for ß
+    lowered = F.replace(F.lower(F.collate("w", "UTF8_BINARY")), F.lit("ß"), F.lit("ss"))
     plain = F.translate(
-        decomposed, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+        lowered, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
     )
     return groups.select(plain.alias("word_key"), "spellings")
 

@@ -24,10 +24,21 @@ def first_index(array: Column, element: Column) -> Column:
     return (F.array_position(array, element) - 1).cast("int")
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parsers stop after the first value, so trailing text goes unseen. Inside an array and
+    inside an object it does not: each wrapping catches what the other would let pass.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce(alone & boxed.isNotNull(), F.lit(False))
+
+
 def parse_json_array(text: Column) -> Column:
     """Strings of a JSON array; NULL or broken text gives an empty array."""
     parsed = F.from_json(text, "array<string>")
-    valid = F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*\[")
+    valid = is_json(text) & text.rlike(r"^\s*\[")
     return F.coalesce(F.when(valid, parsed), F.array().cast("array<string>"))
 
 
@@ -46,6 +57,5 @@ def extract_records(
     ``record`` is the DDL of one record, for example ``struct<name:string,desc:string>``.
     """
     payload = json_payload(F.col(text))
-    valid = F.try_parse_json(payload).isNotNull()
-    records = F.when(valid, F.from_json(payload, f"array<{record}>"))
+    records = F.when(is_json(payload), F.from_json(payload, f"array<{record}>"))
     return df.select(*keep, F.inline(records))
