@@ -21,6 +21,7 @@ from jobmart.operators.latest import latest_rows, latest_values
 from jobmart.operators.matching import match_terms, reference_list
 from jobmart.plans import silver
 from jobmart.plans.ingest import stale_rows
+from jobmart.shared import materialize
 from jobmart.sources.schemas import conform
 
 NOW = dt.datetime(2024, 1, 31)
@@ -230,7 +231,7 @@ def reference_names(v):
     "docs_id",
 )
 def job_skill_match(v):
-    names = silver.condition_references(v.bronze, "skill")
+    names = materialize(silver.condition_references(v.bronze, "skill"), "skills")
     return silver.silver_job_skill(v.bronze, names)
 
 
@@ -244,7 +245,7 @@ def job_skill_match(v):
     "docs_id",
 )
 def job_specialty_match(v):
-    names = silver.condition_references(v.bronze, "specialty")
+    names = materialize(silver.condition_references(v.bronze, "specialty"), "specialties")
     return silver.silver_job_specialty(v.bronze, names)
 
 
@@ -285,6 +286,7 @@ def keyword_match(v):
         one_code.withColumn("id", F.concat_ws("/", "code", "name")), "id", "name",
         [F.col("code")],
     ).withColumn("code", F.substring_index("code", "/", 1))
+    names = materialize(names, "names")
     rows = docs.select("doc_id", "text", F.array("lang", "source").alias("listed"))
     return match_terms(rows, names, ["doc_id"], ["text"], listed="listed", symbol_names=False)
 

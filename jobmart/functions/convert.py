@@ -22,17 +22,20 @@ def to_double(value: Column) -> Column:
 
 
 def to_day(text: Column) -> Column:
-    """Date from ``yyyy-MM-dd`` or ``yyyy/MM/dd`` text, NULL for blank or bad text."""
-    return F.coalesce(
-        F.try_to_date(text, "yyyy-MM-dd"),
-        F.try_to_date(text, "yyyy/MM/dd"),
-    )
+    """Date from ``yyyy-MM-dd`` or ``yyyy/MM/dd`` text, NULL for blank or bad text.
+
+    Checked by pattern and cast, since a parser given the wrong format raises and discards an
+    exception per row.
+    """
+    shaped = F.when(text.rlike(r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"), F.translate(text, "/", "-"))
+    return shaped.try_cast("date")
 
 
 def compact_day(text: Column, zone: str = "UTC") -> Column:
     """Instant at which the ``yyyyMMdd`` day starts in ``zone``; session time zone is UTC."""
-    valid = F.when(text.rlike("^[0-9]{8}$"), text)
-    return F.to_utc_timestamp(F.try_to_timestamp(valid, F.lit("yyyyMMdd")), zone)
+    dashed = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    day = F.when(text.rlike(r"^\d{8}$"), dashed).try_cast("date")
+    return F.to_utc_timestamp(day.cast("timestamp"), zone)
 
 
 def epoch_or(seconds: Column, default: Column) -> Column:

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters whose case-insensitive partner is not reached by lower-casing alone.
-_FOLD_FROM, _FOLD_TO = "İıſKςµ", "iiskσμ"
+# --- Fixed values: letters that equal another letter when case is ignored, although
+# lower-casing keeps them apart (Unicode simple case mappings). ---
+_FOLD_FROM = "µıſͅςϐϑϕϖϰϱϵᲀᲁᲂᲃᲄᲅᲆᲇᲈẛ\u1fbe"
+_FOLD_TO = "μisισβθφπκρεвдосттъѣꙋṡι"
+# --- End of fixed values. ---
+# All of them, and the letters that lower-casing treats by context, lie in here.
+_FOLD_RANGE = "[µ\u0130-\u1fff]"
 
 
 def fold(text: Column) -> Column:
-    """Case-folded text, so that equality means case-insensitive equality."""
-    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
+    """Case-folded text, letter by letter: equal exactly when case-insensitive regex
+    matching takes the letters as equal."""
+    special = text.rlike(_FOLD_RANGE)
+    careful = F.translate(
+        F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), _FOLD_FROM, _FOLD_TO
+    )
+    return F.when(special, careful).otherwise(F.lower(text))
 
 
 def same_name(name: Column) -> Column:

@@ -46,6 +46,7 @@ def _anchored(names: DataFrame) -> DataFrame:
         "code",
         "name",
         "pattern",
+        folded.alias("folded"),
         F.coalesce(longest, F.substring(folded, 1, 2)).alias("anchor"),
         (~folded.rlike(f"^{_WORD}$")).alias("verify"),
     )
@@ -74,24 +75,34 @@ def match_terms(
     structured names of a row. ``symbol_names=False`` skips the work that only names without
     any letter or digit need.
     """
-    anchored = _anchored(names)
-    texts = F.concat_ws("\n", *[F.col(c) for c in text_cols])
+    columns = [F.col(c) for c in text_cols]
+    texts = columns[0] if len(columns) == 1 else F.concat_ws("\n", *columns)
     anchors = docs.select(
         *doc_key, F.explode(_anchors_of(fold(texts), symbol_names)).alias("anchor")
     )
-    hits = anchors.join(anchored, "anchor")
-    sure = hits.where(~F.col("verify")).select(*doc_key, "code", "name")
-    unsure = hits.where("verify").select(*doc_key, "code", "name", "pattern")
-
-    found = F.lit(False)
-    for column in text_cols:
-        found = found | F.coalesce(F.rlike(column, "pattern"), F.lit(False))
-    verified = (
-        unsure.join(docs.select(*doc_key, *text_cols), list(doc_key))
-        .where(found)
-        .select(*doc_key, "code", "name")
+    # Candidates are gathered per row (at most one per name). Both uses below read the same
+    # shuffle, so a text is split into words once and folded once, however many names it holds.
+    candidate = F.struct("code", "name", "pattern", "folded", "verify")
+    hits = (
+        anchors.join(_anchored(names), "anchor")
+        .groupBy(*doc_key)
+        .agg(F.collect_list(candidate).alias("_names"))
+    )
+    sure = hits.select(
+        *doc_key, F.explode(F.filter("_names", lambda n: ~n["verify"])).alias("_name")
     )
-    out = sure.unionByName(verified)
+    unsure = hits.select(*doc_key, F.filter("_names", lambda n: n["verify"]).alias("_names"))
+    folded = docs.select(*doc_key, *text_cols, fold(texts).alias("_folded"))
+    tried = folded.join(unsure.where(F.size("_names") > 0), list(doc_key)).select(
+        *doc_key, *text_cols, "_folded", F.explode("_names").alias("_name")
+    )
+    # a plain substring test goes before the exact pattern
+    found = F.lit(False)
+    for column in columns:
+        found = found | F.coalesce(F.rlike(column, F.col("_name.pattern")), F.lit(False))
+    verified = tried.where(F.contains(F.col("_folded"), F.col("_name.folded")) & found)
+    kept = [*doc_key, "_name.code", "_name.name"]
+    out = sure.select(kept).unionByName(verified.select(kept))
     if listed is not None:
         rows = docs.select(*doc_key, F.explode(F.array_distinct(F.col(listed))).alias("name"))
         by_name = rows.join(names.select("code", "name"), "name")
