@@ -13,6 +13,7 @@ from jobmart.functions.text import url_path_id
 from jobmart.operators.merge import keyed_update
 from jobmart.operators.numbering import number_rows
 from jobmart.operators.sequence import first_occurrence, skip_head, take_while
+from jobmart.shared import materialize
 
 # --- Fixed values: limits, statuses and zone of the landing rules. ---
 PAGE_CAP = 150
@@ -45,6 +46,8 @@ def discover_ids(
     rows = rows.withColumn("appeardate", compact_day(F.col("appearDate"), zone))
     rows = rows.where("appeardate IS NOT NULL")
     if day is not None:
+        # read twice below: for the stopping points and for the rows before them
+        rows = materialize(rows.select("jobcat", "page", "pos", "appeardate", "link"), "listing")
         local_day = F.to_date(F.from_utc_timestamp("appeardate", zone))
         rows = take_while(rows, ["jobcat"], ["page", "pos"], local_day == F.lit(day))
     ids = rows.withColumn("job_id", url_path_id(F.col("link"))).where("job_id IS NOT NULL")

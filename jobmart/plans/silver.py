@@ -32,10 +32,15 @@ def load_window(as_of: dt.date) -> tuple[dt.datetime, dt.datetime]:
 
 
 def in_window(df: DataFrame, column: str, as_of: dt.date | None) -> DataFrame:
-    """Rows inside the look-back of ``as_of``; ``None`` means the full history."""
+    """Rows inside the look-back of ``as_of``; ``None`` means the full history.
+
+    On a landed table the folder of the ingest day is tested too, so only two days are read.
+    """
     if as_of is None:
         return df
     low, high = load_window(as_of)
+    if "ingest_day" in df.columns:
+        df = df.where(F.col("ingest_day").between(F.lit(low.date()), F.lit(as_of)))
     return df.where((F.col(column) >= instant(low)) & (F.col(column) < instant(high)))
 
 

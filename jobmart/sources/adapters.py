@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobmart.shared import new_path
+from jobmart.sources.tables import read_job_details, write_job_details
+
 JOB_URL = "https://jobs.example/job/"
 
 COMPANY = ["c_custkey AS cust_no", "c_name AS cust_name", "c_mktsegment AS industry_name"]
@@ -56,6 +59,9 @@ SKILL_OPTION = [
 ]
 
 
+_landed: dict[tuple[str, str], str] = {}
+
+
 class Views:
     """The job-market tables of one data folder."""
 
@@ -114,8 +120,18 @@ class Views:
 
     @cached_property
     def bronze(self) -> DataFrame:
+        """The posting documents as a landed table, written once per session and folder."""
+        landing = (self.spark.sparkContext.applicationId, self.folder)
+        if landing not in _landed:
+            path = new_path(self.spark, "bronze")
+            write_job_details(self.documents, path)
+            _landed[landing] = path
+        return read_job_details(self.spark, _landed[landing], "parquet")
+
+    @cached_property
+    def documents(self) -> DataFrame:
         """Posting documents built from the events: one document per event, nested fields
-        and arrays from its values, 150 postings with many snapshots each at the small scale."""
+        and arrays from its values, many snapshots per posting."""
         e = self.raw("events").selectExpr(
             "* EXCEPT (ts)",
             "CAST(ts AS TIMESTAMP) AS ts",
