@@ -45,8 +45,6 @@ def _anchored(names: DataFrame) -> DataFrame:
     return names.select(
         "code",
         "name",
-        "pattern",
-        folded.alias("folded"),
         F.coalesce(longest, F.substring(folded, 1, 2)).alias("anchor"),
         (~folded.rlike(f"^{_WORD}$")).alias("verify"),
     )
@@ -82,7 +80,7 @@ def match_terms(
     )
     # Candidates are gathered per row (at most one per name). Both uses below read the same
     # shuffle, so a text is split into words once and folded once, however many names it holds.
-    candidate = F.struct("code", "name", "pattern", "folded", "verify")
+    candidate = F.struct("code", "name", "verify")
     hits = (
         anchors.join(_anchored(names), "anchor")
         .groupBy(*doc_key)
@@ -97,10 +95,12 @@ def match_terms(
         *doc_key, *text_cols, "_folded", F.explode("_names").alias("_name")
     )
     # a plain substring test goes before the exact pattern
+    name = F.col("_name.name")
     found = F.lit(False)
     for column in columns:
-        found = found | F.coalesce(F.rlike(column, F.col("_name.pattern")), F.lit(False))
-    verified = tried.where(F.contains(F.col("_folded"), F.col("_name.folded")) & found)
+        hit = F.rlike(column, contains_word_pattern(name))
+        found = found | F.coalesce(hit, F.lit(False))
+    verified = tried.where(F.contains(F.col("_folded"), fold(name)) & found)
     kept = [*doc_key, "_name.code", "_name.name"]
     out = sure.select(kept).unionByName(verified.select(kept))
     if listed is not None:

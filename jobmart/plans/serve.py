@@ -256,11 +256,9 @@ def modal_value(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     Values are counted first, so no group is held as a list.
     """
     counted = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    top = F.max(F.col("_n")).alias("_top")
-    peak = counted.groupBy(*groups).agg(F.sum("_n").alias("rows"), top)
-    hit = counted.join(peak, list(groups)).where("_n = _top")
-    return hit.groupBy(*groups).agg(
-        F.first("rows").alias("rows"), F.min(value).alias(value)
+    most_first = F.struct(-F.col("_n"), F.col(value))
+    return counted.groupBy(*groups).agg(
+        F.sum("_n").alias("rows"), F.min_by(value, most_first).alias(value)
     )
 
 
