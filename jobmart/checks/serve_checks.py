@@ -245,6 +245,17 @@ def topk_jobs(v):
     return serve.topk_jobs(cards_of(v))
 
 
+@check(
+    "search_loose",
+    f"""SELECT {_VIEW} FROM cards WHERE region_group = 'S' AND (salary_type_code = 50
+ OR salary_text LIKE '%月%') ORDER BY job_id DESC LIMIT 100""",
+    "cards",
+)
+def search_loose(v):
+    found = serve.search_loose(cards_of(v), bridge_of(v), region="南部地區", salary_type="50")
+    return serve.topk_jobs(found)
+
+
 @check(
     "like_or_code",
     """SELECT job_id, salary_type_code, salary_text FROM cards WHERE salary_type_code = 50

@@ -210,12 +210,28 @@ def requirement_union(v):
 @check(
     "reference_list",
     """SELECT concat('p', k % 12) AS code, arg_max(event_type, (ts, batch_id, event_id))
- AS name FROM (SELECT *, concat(ymd, '_', lpad(CAST(hour(ts) % 3 + 1 AS VARCHAR), 3, '0'))
+ AS name, concat('(?iu)(?:^|[^a-zA-Z0-9])\\Q', arg_max(event_type, (ts, batch_id, event_id)),
+ '\\E(?:$|[^a-zA-Z0-9])') AS pattern
+ FROM (SELECT *, concat(ymd, '_', lpad(CAST(hour(ts) % 3 + 1 AS VARCHAR), 3, '0'))
  AS batch_id FROM ev) WHERE k % 6 <> 0 GROUP BY 1""",
     "ev",
 )
 def reference_names(v):
-    return silver.condition_references(v.bronze, "specialty").select("code", "name")
+    return silver.condition_references(v.bronze, "specialty")
+
+
+@check(
+    "merge_references",
+    """SELECT coalesce(n.code, o.code) AS code, coalesce(n.name, o.name) AS name FROM
+ (SELECT concat('p', s_suppkey) AS code, s_name AS name FROM supplier) o FULL JOIN
+ (SELECT concat('p', k % 12) AS code, arg_max(event_type, (ts, batch_id, event_id)) AS name
+  FROM (SELECT *, concat(ymd, '_', lpad(CAST(hour(ts) % 3 + 1 AS VARCHAR), 3, '0'))
+  AS batch_id FROM ev) WHERE k % 6 <> 0 GROUP BY 1) n ON o.code = n.code""",
+    "ev",
+)
+def merge_references(v):
+    stored = v.raw("supplier").selectExpr("concat('p', s_suppkey) AS code", "s_name AS name")
+    return silver.merge_references(stored, silver.condition_references(v.bronze, "specialty"))
 
 
 @check(

@@ -326,7 +326,8 @@ def salary_stat(
 
     ``avg_salary_min`` is the smallest lower bound, ``avg_salary_max`` the greatest upper
     bound and ``median_salary`` repeats the mean midpoint, as the stored table has it.
-    ``with_median`` adds ``true_median`` of the midpoints.
+    ``with_median`` adds ``true_median`` of the midpoints. Both inputs are unique by their
+    declared key.
     """
     parsed = cards.select(
         "job_id",
@@ -337,15 +338,10 @@ def salary_stat(
         salary_max(F.col("salary_text"), unit_aware).alias("sal_max"),
     )
     group = ["category_code", "salary_type_code", "region_group", "exp_level"]
-    per_job = (
-        parsed.join(bridge.select("job_id", "category_code", "category_name"), "job_id")
-        .groupBy("job_id", *group)
-        .agg(
-            F.max("category_name").alias("category_name"),
-            F.avg("sal_min").alias("sal_min"),
-            F.avg("sal_max").alias("sal_max"),
-        )
-    )
+    # Cards are keyed by job and the bridge by (job, category), so a joined row already is one
+    # job of one category: nothing has to be grouped by job, and a job or category that owns
+    # much of the rows meets only a splittable join and a partially aggregated count.
+    per_job = parsed.join(bridge.select("job_id", "category_code", "category_name"), "job_id")
     both = F.col("sal_min") + F.col("sal_max")
     mid = (
         F.sum(both).cast("decimal(28,6)") / (F.count(both) * 2).cast("decimal(10,0)")

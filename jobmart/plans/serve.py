@@ -12,6 +12,7 @@ from jobmart.functions.labels import (
     COARSE_EXPERIENCE_COLUMNS,
     EXPERIENCE_COLUMNS,
     REGION_CODES,
+    REGION_FROM_LABEL,
     SALARY_KEYWORDS,
     SALARY_UNITS,
     STAR_THRESHOLDS,
@@ -356,6 +357,25 @@ def topk_jobs(cards: DataFrame, n: int = TOP_JOBS) -> DataFrame:
     return card_view(cards.orderBy(F.col("job_id").desc()).limit(n))
 
 
+def search_loose(
+    cards: DataFrame,
+    bridge: DataFrame,
+    category_code: str | None = None,
+    region: str | None = "ALL",
+    salary_type: str | None = None,
+) -> DataFrame:
+    """Earlier search: the region may be given and stored as a label or as a code, and the
+    salary type also matches by its keyword. Shown with :func:`topk_jobs`."""
+    label = (region or "ALL").strip()
+    code = REGION_FROM_LABEL.get(label, label.upper())
+    found = search(cards, bridge, category_code)
+    if code != "ALL":
+        found = found.where(F.col("region_group").isin(code, label))
+    if salary_type and salary_type.strip().upper() != "ALL":
+        found = like_or_code(found, salary_type.strip())
+    return found
+
+
 def in_code_group(
     df: DataFrame, column: str, group: str, groups: Mapping[str, Sequence[str]]
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from jobmart.functions.convert import instant, to_day, to_double, to_int
 from jobmart.functions.text import first_int, last_segment
 from jobmart.operators.latest import latest_rows, latest_values
 from jobmart.operators.matching import match_terms, reference_list
+from jobmart.operators.merge import upsert
 from jobmart.operators.nested import as_array, first_index, unwind
 
 # --- Fixed values: codes and tags carried into the silver tables. ---
@@ -189,6 +190,11 @@ def condition_references(bronze: DataFrame, field: str) -> DataFrame:
     return reference_list(items, "item_code", "item_name", [F.col(c) for c in NEWEST])
 
 
+def merge_references(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The stored reference list with the entries of ``fresh`` replaced or added."""
+    return upsert(stored, fresh, ["code"])
+
+
 def match_condition(
     bronze: DataFrame, names: DataFrame, field: str, as_of: dt.date | None = None
 ) -> DataFrame:
@@ -247,18 +253,23 @@ def silver_language(bronze: DataFrame, as_of: dt.date | None = None) -> DataFram
     )
 
 
-def silver_requirement(bronze: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Five multi-valued conditions as (job_id, type, value) rows, read in one pass."""
+def silver_requirement(
+    bronze: DataFrame, as_of: dt.date | None = None, certificate_field: str = "description"
+) -> DataFrame:
+    """Five multi-valued conditions as (job_id, type, value) rows, read in one pass.
+
+    Older documents carry the certificate under ``name``.
+    """
 
-    def described(field: str) -> Column:
-        return F.transform(F.col(field), lambda x: x["description"])
+    def described(field: str, part: str = "description") -> Column:
+        return F.transform(F.col(field), lambda x: x[part])
 
     arrays = [
         F.col("condition.major"),
         F.col("condition.driverLicense"),
         described("condition.acceptRole.role"),
         F.col("jobDetail.workType"),
-        described("condition.certificate"),
+        described("condition.certificate", certificate_field),
     ]
     rows_type = "array<struct<requirement_type:string,requirement_value:string>>"
 
