@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobmart.functions.convert import instant
+from jobmart.operators import numbering
 from jobmart.plans import gold, ingest, serve, silver
 from jobmart.shared import new_path
 from jobmart.sources import schemas, tables
@@ -354,3 +355,55 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     assert shared.shared_dir(Session("hdfs:///work/")) == "hdfs:///work"
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session(None))
+
+
+def test_hot_job_is_split(spark):
+    """A third of the rows under one key: adaptive execution splits that partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 90000, 1, 12)
+        job_of = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20000)
+        bridge = rows.select(
+            job_of.alias("job_id"), F.col("id").cast("string").alias("category_code"),
+            F.lit("name").alias("category_name"),
+        )
+        cards = spark.range(20000).select(
+            F.col("id").alias("job_id"), F.lit(50).alias("salary_type_code"),
+            F.lit("N").alias("region_group"), F.lit("3年").alias("exp_edu_text"),
+            F.lit("月薪30,000元").alias("salary_text"),
+        )
+        stat = gold.salary_stat(cards, bridge)
+        assert len(stat.collect()) == 90000
+        assert "skew=true" in stat._jdf.queryExecution().executedPlan().toString()
+
+        labelled = numbering.number_within(
+            bridge.withColumn("category_code", F.col("category_code").cast("int")),
+            ["job_id"], ["category_code"], "n",
+        )
+        top = labelled.where("job_id = 0").agg(F.max("n")).collect()[0][0]
+        assert top == 30003  # multiples of 3, and of 20000 among the others
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def test_newest_rows_are_reduced_before_the_shuffle(spark, data):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    from jobmart.operators.latest import latest_rows
+
+    plan = latest_rows(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Final") < text.index("Exchange") < text.index("Partial")
