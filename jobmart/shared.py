@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: str | None = None
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """This application's folder under the one named by ``spark.checkpoint.dir``, or by
+    ``SparkContext.setCheckpointDir`` where the setting is absent.
 
-    A temporary folder stands in only when the setting is absent and the master is local; on
-    a cluster a missing setting is an error, since a machine-local folder would be lost with
-    its executor.
+    There is no other place: a machine-local folder would be lost with its executor. Tests, the
+    bench and the driver contract set one of the two themselves.
     """
-    global _local_scratch
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="jobmart-")
-    return _local_scratch
+    return f"{named.rstrip('/')}/jobmart-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -41,3 +33,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

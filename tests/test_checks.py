@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from jobmart.checks import all_queries, all_sql
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages"
           " benchmark labels conversations").split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
