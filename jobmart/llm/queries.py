@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobmart.llm import packing, token_store
+from jobmart.llm import (
+    licenses, line_dedup, mixing, packing, pu_classifier, quality_rules, suffix_dedup,
+    token_store,
+)
 from jobmart.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +37,62 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_pu_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return pu_classifier.scored(documents(spark, folder), labels, threshold=0.3)
+
+
+@query("op3_host_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, folder), host="source").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(documents(spark, folder))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.cleaned(documents(spark, folder).select("doc_id", "text"))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["at"], s["until"]))
+    return cleaned.select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("spans"),
+        F.length("kept_text").cast("long").alias("n_kept_chars"),
+        F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"),
+    )
+
+
+#: Domains are the families of sources with the same first digit; the query's target weights.
+DOMAIN = r"^\D*\d"
+LEVELS = ["domain", "lang", "source"]
+WEIGHTS = {
+    mixing.node("src0"): 2.0,
+    mixing.node("src1"): 4.0,
+    mixing.node("src1", "en"): 3.0,
+    mixing.node("src2"): 0.5,
+}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("domain", F.regexp_extract("source", DOMAIN, 0))
+
+
+@query("op9_source_mix")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_domain(documents(spark, folder))
+    leaves = mixing.plan(docs, LEVELS, share=0.5, weights=WEIGHTS, epochs=2)
+    return mixing.selected(docs, leaves, LEVELS).select(
+        "doc_id", "domain", "lang", "source", "epoch", mixing.text_tokens().alias("n_tokens")
+    )
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary(), capacity=2048, end_id=0)
@@ -43,3 +103,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write_store(documents(spark, folder), path, vocabulary(), end_id=1)
     return token_store.scan_store(spark, path)
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, folder), least=100).drop("kept")
