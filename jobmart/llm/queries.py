@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmart.llm import (
-    licenses, line_dedup, mixing, packing, pu_classifier, quality_rules, suffix_dedup,
-    token_store,
+    bm25, licenses, line_dedup, mixing, near_dedup, packing, pu_classifier, quality_rules,
+    suffix_dedup, token_store,
 )
-from jobmart.llm.common import new_path
+from jobmart.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_bm25_search")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    shards = max(1, -(-docs.count() // bm25.SHARD_DOCS))
+    index = materialize(bm25.build_index(docs.coalesce(shards)), "bm25-index")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.top_k(index, asked, k=10)
+
+
 @query("op2_pu_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -56,6 +65,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scanned(documents(spark, folder))
 
 
+@query("op5_minhash_near_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder), size=2, threshold=80)
+
+
 @query("op6_line_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.cleaned(documents(spark, folder).select("doc_id", "text"))
