@@ -345,10 +345,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return number_rows(docs.select("*", data), ["doc_id", "text"], "doc")
 
 
-def removed(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """For rows (doc, data): per row its size, its bytes and the places that round 1 removes
-    (null if no round can remove any; then its digest), and by document what the later rounds
-    remove.
+def removed(rows: DataFrame, least: int, texts_too: bool) -> tuple[DataFrame, DataFrame]:
+    """For rows (doc, data): per row its size, its bytes and the places that round 1 removes, or
+    its digest if no round can remove any (and its bytes only with ``texts_too``), and by
+    document what the later rounds remove.
 
     The texts are shuffled once, into a table bucketed by document: the later rounds and the
     last step join their few places to it without moving texts again.
@@ -363,7 +363,7 @@ def removed(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     joined = joined.select(
         *[c for c in rows.columns if c != "data"],
         F.octet_length("data").cast("long").alias("n_bytes"),
-        F.when(hit, F.col("data")).alias("data"),
+        F.when(hit | F.lit(texts_too), F.col("data")).alias("data"),
         F.when(~hit, F.sha2("data", 256)).alias("sha"),
         F.filter("places", lambda x: x["sure"]).alias("gone"),
         F.filter("places", lambda x: ~x["sure"]).alias("open"),
@@ -384,10 +384,12 @@ def removed(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return seen, by_doc(sure)
 
 
-def deduplicated(docs: DataFrame, least: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, least: int = 100, keep: tuple[str, ...] = (), texts_too: bool = False
+) -> DataFrame:
     """Per row of ``docs``: doc_id, the columns ``keep``, n_bytes, n_removed, n_spans (maximal
-    removed runs), ``kept`` (the remaining bytes; null where nothing was removed) and
-    kept_sha256.
+    removed runs), ``kept`` (the remaining bytes; null where nothing was removed, unless
+    ``texts_too``) and kept_sha256.
 
     A string of ``least`` bytes counts as earlier by (doc_id, place); it is judged on the
     input and never spans two texts. A null text is empty. Where doc_id repeats or is null,
@@ -397,14 +399,14 @@ def deduplicated(docs: DataFrame, least: int = 100, keep: tuple[str, ...] = ())
     if least < SEED:
         raise ValueError(f"a window has {SEED} bytes at least")
     rows = keyed(docs.select("doc_id", "text", *keep)).drop("text")
-    seen, pairs = removed(rows, least)
+    seen, pairs = removed(rows, least, texts_too)
     carried = ["doc_id", *keep]
-    clean = seen.where(F.col("data").isNull()).select(
+    clean = seen.where(F.col("sha").isNotNull()).select(
         *carried, "n_bytes",
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.lit(None).cast("binary").alias("kept"), F.col("sha").alias("kept_sha256"),
+        F.col("data").alias("kept"), F.col("sha").alias("kept_sha256"),
     )
-    touched = seen.where(F.col("data").isNotNull()).join(
+    touched = seen.where(F.col("sha").isNull()).join(
         pairs, F.col("doc") == F.col("_doc"), "left"
     )
     none = F.array().cast("array<struct<at:bigint,more:int,sure:boolean>>")
@@ -429,7 +431,7 @@ def deduplicated(docs: DataFrame, least: int = 100, keep: tuple[str, ...] = ())
                 runs = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                 n = int(gone.sum())
                 kept = text[~gone].tobytes()
-                out.append((n, runs, kept if n else None, hashlib.sha256(kept).hexdigest()))
+                out.append((n, runs, kept if n or texts_too else None, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays(
