@@ -1,17 +1,19 @@
 """Near duplicates by b-bit MinHash, confirmed on full shingle sets.
 
 Documents with the same set of shingles form a class, and only its smallest document goes on,
-so a group of copies costs one row. A class has ``BANDS * ROWS`` minima under random
-permutations; bands of ``ROWS`` minima name its buckets, and of each minimum only the low
-``BITS`` bits are kept, packed into longs. For two documents of one bucket the share of equal
-low bits, corrected for the equal bits that chance gives, estimates their similarity, and pairs
-clearly below the threshold are dropped. The others are confirmed on their sets. Two documents
-at the threshold of 0.8 share no bucket with probability (1 - 0.8^5)^32, 3 in a million.
-
-Buckets are never expanded into all their pairs. First each member is confirmed against one
-smallest member of its buckets, and the links give components. Then only members outside the
-largest component of a bucket meet the members of its other components. Pairs that are left
-out lie in one component already, so no component is lost.
+so a group of copies costs one row. ``BANDS * ROWS`` minima under random permutations name a
+class's buckets, ``ROWS`` minima each. Members of shared buckets get a signature of
+``PERMUTATIONS`` minima of which only the low ``BITS`` bits are kept, packed into longs. The
+share of equal low bits, corrected for those that are equal by chance, estimates similarity,
+and pairs clearly below the threshold are dropped. The others are confirmed on their sets. Two
+documents at the threshold of 0.8 share no bucket with probability (1 - 0.8^5)^32, 3 in a
+million.
+
+Buckets are never expanded into all their pairs. In each of ``TURNS`` turns every member meets
+a few members of its buckets that are not yet in its component, in a random order, and its
+most similar one is confirmed; links give components. At last the members outside the largest
+component of a bucket, few by then, meet all members of its other components. Pairs that are
+left out lie in one component already, so no component is lost.
 """
 
 from __future__ import annotations
@@ -21,22 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmart.llm.common import materialize, ready
 
-BANDS, ROWS, BITS = 32, 5, 2
-LONGS = BANDS * ROWS * BITS // 64
+BANDS, ROWS = 32, 5
+PERMUTATIONS, BITS = 1024, 2
+LONGS = PERMUTATIONS * BITS // 64
 #: Pairs whose estimate is this far below the threshold are dropped: over five deviations.
-SLACK = 0.2
+SLACK = 0.08
+TURNS = 2
+#: Large buckets are cut at random for the turns, not for the last step.
+TURN_MEMBERS = 4096
 BUFFER = 1 << 18
 
 _random = np.random.default_rng(20_250_102)
 _letters = _random.integers(0, 2**64, 256, np.uint64)
 _factor = np.uint64(int(_random.integers(2**62, 2**63)) | 1)
-_scales = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
-_shifts = _random.integers(0, 2**32, BANDS * ROWS, np.uint32)
+_scales = _random.integers(0, 2**32, PERMUTATIONS, np.uint32) | np.uint32(1)
+_shifts = _random.integers(0, 2**32, PERMUTATIONS, np.uint32)
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
 
@@ -96,21 +102,30 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def signature(names: np.ndarray) -> tuple[list[int], list[int]]:
-    """Bucket names of the bands, and the packed low bits of the minima."""
+def minima(names: np.ndarray, count: int) -> np.ndarray:
+    """The least value of the set under each of ``count`` permutations."""
     folded = (names ^ (names >> np.uint64(32))).astype(np.uint32)
-    minima = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(folded), 4096):
-        part = folded[a : a + 4096]
-        found = part[None, :] * _scales[:, None] + _shifts[:, None]
-        minima = np.minimum(minima, found.min(axis=1))
+    out = np.full(count, 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 18) // count)
+    for a in range(0, len(folded), step):
+        part = folded[a : a + step]
+        found = part[None, :] * _scales[:count, None] + _shifts[:count, None]
+        out = np.minimum(out, found.min(axis=1))
+    return out
+
+
+def bucket_names(names: np.ndarray) -> list[int]:
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in minima.astype(np.uint64).reshape(BANDS, ROWS).T:
+    for row in minima(names, BANDS * ROWS).astype(np.uint64).reshape(BANDS, ROWS).T:
         keys = mixed(keys * _factor + row)
-    low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(LONGS, -1)
+    return keys.view(np.int64).tolist()
+
+
+def packed_bits(names: np.ndarray) -> np.ndarray:
+    low = (minima(names, PERMUTATIONS) & np.uint32((1 << BITS) - 1)).astype(np.uint64)
+    low = low.reshape(LONGS, -1)
     places = np.arange(low.shape[1], dtype=np.uint64) * np.uint64(BITS)
-    packed = np.bitwise_or.reduce(low << places, axis=1)
-    return keys.view(np.int64).tolist(), packed.view(np.int64).tolist()
+    return np.bitwise_or.reduce(low << places, axis=1).view(np.int64)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -122,42 +137,50 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the set), keys, packed; null where no shingle."""
+    """doc_id, n_shingles, set_id (a digest of the set) and bucket keys; null without shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, ids, keys, packed = [], [], [], []
+            counts, ids, keys = [], [], []
             for names in shingle_sets(batch.column(1).to_pylist(), size):
+                some = len(names) > 0
                 counts.append(len(names))
-                found = signature(names) if len(names) else (None, None)
-                ids.append(hashlib.blake2b(names, digest_size=16).digest() if len(names) else None)
-                keys.append(found[0])
-                packed.append(found[1])
+                ids.append(hashlib.blake2b(names, digest_size=16).digest() if some else None)
+                keys.append(bucket_names(names) if some else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64())),
+                    pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "keys", "packed"],
+                names=["doc_id", "n_shingles", "set_id", "keys"],
             )
 
     return texts_of(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, keys array<long>, packed array<long>"
+        run, "doc_id long, n_shingles long, set_id binary, keys array<long>"
     )
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, shingles) with the full set of every document."""
+    """(doc, n, packed, shingles): every document's set, its size and its packed low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in batches:
-            found = [x.view(np.int64) for x in shingle_sets(batch.column(1).to_pylist(), size)]
+            found = list(shingle_sets(batch.column(1).to_pylist(), size))
+            columns = (
+                batch.column(0).to_pylist(),
+                [len(x) for x in found],
+                [packed_bits(x) for x in found],
+                [x.view(np.int64) for x in found],
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc", "shingles"],
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["doc", "n", "packed", "shingles"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc long, shingles array<long>")
+    return texts_of(docs).mapInArrow(
+        run, "doc long, n long, packed array<long>, shingles array<long>"
+    )
 
 
 def estimate(a: str, b: str) -> Column:
@@ -169,7 +192,7 @@ def estimate(a: str, b: str) -> Column:
         for k in range(1, BITS):
             x = x.bitwiseOR(F.shiftrightunsigned(F.col(a)[i].bitwiseXOR(F.col(b)[i]), k))
         differ = differ + F.bit_count(x.bitwiseAND(odd))
-    equal = 1 - differ / (BANDS * ROWS)
+    equal = 1 - differ / PERMUTATIONS
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -223,6 +246,67 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc, component, m, big): members of buckets that hold several components, with the
+    bucket's size and its largest component."""
+    of = found.withColumnRenamed("doc", "_doc")
+    placed = members.join(of, F.col("doc") == F.col("_doc"), "left").select(
+        "key", "doc", F.coalesce("component", "doc").alias("component")
+    )
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    parts = (
+        parts.groupBy("key")
+        .agg(F.sum("m").alias("m"), F.count("*").alias("parts"),
+             F.max_by("component", F.struct("m", "component")).alias("big"))
+        .where("parts > 1")
+        .drop("parts")
+    )
+    return placed.join(parts, "key")
+
+
+def best_pairs(open_: DataFrame, facts: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """For each member the most similar of the next two, in a random order, of its buckets."""
+    part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / TURN_MEMBERS))
+    order = Window.partitionBy("key", "part").orderBy(F.xxhash64("key", "doc", F.lit(turn)), "doc")
+    near = [F.lead(F.struct("doc", "component"), i).over(order) for i in (1, 2)]
+    pairs = (
+        open_.withColumn("part", part)
+        .select("doc", "component", F.array(*near).alias("near"))
+        .select("doc", "component", F.explode("near").alias("other"))
+        .where(F.col("other.component") != F.col("component"))
+        .select(F.least("doc", "other.doc").alias("x"), F.greatest("doc", "other.doc").alias("y"))
+        .distinct()
+    )
+    rated = (
+        pairs.join(facts.alias("a"), F.col("x") == F.col("a.doc"))
+        .join(facts.alias("b"), F.col("y") == F.col("b.doc"))
+        .where(may_link("a", "b", threshold))
+        .select("x", "y", estimate("a.packed", "b.packed").alias("rate"))
+    )
+    both = rated.union(rated.select(F.col("y").alias("x"), F.col("x").alias("y"), "rate"))
+    best = both.groupBy("x").agg(F.max_by("y", F.struct("rate", -F.col("y"))).alias("y"))
+    return best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def cross_pairs(open_: DataFrame, facts: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of different components of a bucket that may link. At least one of the two is
+    outside the bucket's largest component."""
+    rows = open_.join(facts, "doc").withColumn("big", F.col("component") == F.col("big"))
+    rows = materialize(rows, "open-facts")
+    a, b = rows.where("NOT big").alias("a"), rows.alias("b")
+    return (
+        a.join(
+            b,
+            (F.col("a.key") == F.col("b.key"))
+            & (F.col("a.component") != F.col("b.component"))
+            & (F.col("b.big") | (F.col("a.doc") < F.col("b.doc")))
+            & may_link("a", "b", threshold),
+        )
+        .select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (``doc_id``, ``text``;
     others are ignored); linked are documents with ``100 * shared >= threshold * union``.
@@ -234,75 +318,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     rows = materialize(signatures(docs, size), "signatures")
     named = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(
-        named.groupBy("set_id").agg(
-            F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"),
-            F.first("keys").alias("keys"), F.first("packed").alias("packed"),
-        ),
+        named.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys")),
         "classes",
-    )
+    )
     banded = classes.select("doc", F.explode("keys").alias("key"))
     buckets = (
         banded.groupBy("key")
-        .agg(F.min("doc").alias("center"), F.max("doc").alias("last"))
-        .where("center < last")
-        .drop("last")
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        .where("low < high")
+        .select("key")
     )
     members = materialize(banded.join(buckets, "key"), "members")
-    facts = classes.select("doc", "n", "packed")
     inside = members.select("doc").distinct()
     full = materialize(
         sets(docs.join(inside, docs["doc_id"] == inside["doc"], "left_semi"), size), "sets"
     )
-
-    # Round 1: every member with the smallest member of one of its buckets.
-    stars = members.where("doc <> center").select(
-        F.col("doc").alias("x"), F.col("center").alias("y")
-    )
-    rated = (
-        stars.distinct()
-        .join(facts.alias("a"), F.col("x") == F.col("a.doc"))
-        .join(facts.alias("b"), F.col("y") == F.col("b.doc"))
-        .where(may_link("a", "b", threshold))
-        .select("x", "y", estimate("a.packed", "b.packed").alias("rate"))
-    )
-    best = rated.groupBy("x").agg(F.max_by("y", F.struct("rate", -F.col("y"))).alias("y"))
-    links = materialize(confirmed(best, full, threshold), "links")
-    found = components(links)
-
-    # Round 2: in buckets of several components, all but the largest with the other ones.
-    of = found.withColumnRenamed("doc", "_doc")
-    placed = members.join(of, F.col("doc") == F.col("_doc"), "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("component")
-    )
-    largest = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    largest = (
-        largest.groupBy("key")
-        .agg(F.max_by("component", F.struct("m", "component")).alias("big"),
-             F.count("*").alias("parts"))
-        .where("parts > 1")
-    )
-    open_ = (
-        placed.join(largest, "key")
-        .join(facts, "doc")
-        .select("key", "doc", "component", (F.col("component") == F.col("big")).alias("big"),
-                "n", "packed")
-    )
-    open_ = materialize(open_, "open-buckets")
-    a, b = open_.where("NOT big").alias("a"), open_.alias("b")
-    pairs = (
-        a.join(
-            b,
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.component") != F.col("b.component"))
-            & (F.col("b.big") | (F.col("a.doc") < F.col("b.doc")))
-            & may_link("a", "b", threshold),
-        )
-        .select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
-        .distinct()
-    )
-    more = materialize(confirmed(pairs, full, threshold), "links")
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    facts = full.select("doc", "n", "packed")
+    links = None
+    found = members.select("doc", F.col("doc").alias("component")).distinct()
+    for turn in range(TURNS + 1):
+        open_ = materialize(open_members(members, found), "open-members")
+        if turn < TURNS:
+            pairs = best_pairs(open_, facts, threshold, turn)
+        else:
+            pairs = cross_pairs(open_, facts, threshold)
+        new = materialize(confirmed(pairs, full, threshold), "links")
+        if not new.limit(1).count():
+            continue
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
 
     class_of = classes.select(F.col("set_id").alias("_set"), F.col("doc").alias("_first"))
     linked = found.select(F.col("doc").alias("_linked"), F.col("component").alias("_component"))

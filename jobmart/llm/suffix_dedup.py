@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmart.llm.common import materialize, new_path, part_count, ready
@@ -443,3 +443,12 @@ def deduplicated(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
     return clean.unionByName(touched.mapInArrow(cut, schema))
 
+
+
+def _decoded(rows):
+    return rows.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+
+def whole_characters(data: Column) -> Column:
+    """The characters of UTF-8 bytes; remains of characters that were cut are left out."""
+    return F.pandas_udf(_decoded, "string", F.PandasUDFType.SCALAR)(data)
