@@ -50,7 +50,7 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs, least=100, keep=("lang", "source", "n_chars"), texts_too=True
     )
     touched = F.col("n_removed") > 0
-    text = F.when(touched, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string"))
+    text = F.when(touched, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string"))
     n_chars = F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return (
         cut.where(~touched | (F.col("n_removed") < F.col("n_bytes")))
@@ -60,17 +60,6 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def whole_characters(data):
-    """The characters of UTF-8 bytes; remains of characters are left out."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
-
-    return decode(data)
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = with_domain(docs)
     leaves = mixing.plan(docs, LEVELS, share=MIX_SHARE, weights=WEIGHTS, epochs=1)
