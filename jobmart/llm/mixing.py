@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from jobmart.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def text_tokens() -> Column:
