@@ -161,10 +161,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, packed, shingles): every document's set, its size and its packed low bits."""
+    """(doc, n, packed, shingles, keys): every document's set, its size, its packed low bits and
+    its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        many = pa.list_(pa.int64())
+        kinds = (pa.int64(), pa.int64(), many, many, many)
         for batch in batches:
             found = list(shingle_sets(batch.column(1).to_pylist(), size))
             columns = (
@@ -172,14 +174,16 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 [len(x) for x in found],
                 [packed_bits(x) for x in found],
                 [x.view(np.int64) for x in found],
+                [bucket_names(x) for x in found],
             )
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc", "n", "packed", "shingles"],
+                names=["doc", "n", "packed", "shingles", "keys"],
             )
 
     return texts_of(docs).mapInArrow(
-        run, "doc long, n long, packed array<long>, shingles array<long>"
+        run,
+        "doc long, n long, packed array<long>, shingles array<long>, keys array<long>",
     )
 
 
@@ -222,10 +226,8 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.col("y").alias("doc"), F.col("x").alias("to"))
     )
     both = materialize(both.distinct(), "links")
-    state = both.groupBy("doc").agg(F.min("to").alias("to")).select(
-        "doc", F.least("doc", "to").alias("component")
-    )
-    state = materialize(state, "components")
+    state = both.groupBy("doc").agg(F.min("to").alias("to"))
+    state = materialize(state.select("doc", F.least("doc", "to").alias("component")), "components")
     while True:
         near = (
             both.join(state.withColumnRenamed("doc", "to"), "to")
@@ -246,6 +248,19 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after ``links`` (x, y): only the graph of the components that they connect
+    is searched."""
+    x = found.select(F.col("doc").alias("x"), F.col("component").alias("of_x"))
+    y = found.select(F.col("doc").alias("y"), F.col("component").alias("of_y"))
+    between = links.join(x, "x").join(y, "y").where("of_x <> of_y")
+    moved = components(between.select(F.col("of_x").alias("x"), F.col("of_y").alias("y")))
+    moved = moved.select(F.col("doc").alias("component"), F.col("component").alias("moved"))
+    return found.join(moved, "component", "left").select(
+        "doc", F.coalesce("moved", "component").alias("component")
+    )
+
+
 def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
     """(key, doc, component, m, big): members of buckets that hold several components, with the
     bucket's size and its largest component."""
@@ -265,14 +280,13 @@ def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def best_pairs(open_: DataFrame, facts: DataFrame, threshold: int, turn: int) -> DataFrame:
-    """For each member the most similar of the next two, in a random order, of its buckets."""
+    """For each member the most similar of its neighbours, in a random order, in its buckets."""
     part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / TURN_MEMBERS))
     order = Window.partitionBy("key", "part").orderBy(F.xxhash64("key", "doc", F.lit(turn)), "doc")
-    near = [F.lead(F.struct("doc", "component"), i).over(order) for i in (1, 2)]
+    near = F.lead(F.struct("doc", "component")).over(order)
     pairs = (
         open_.withColumn("part", part)
-        .select("doc", "component", F.array(*near).alias("near"))
-        .select("doc", "component", F.explode("near").alias("other"))
+        .select("doc", "component", near.alias("other"))
         .where(F.col("other.component") != F.col("component"))
         .select(F.least("doc", "other.doc").alias("x"), F.greatest("doc", "other.doc").alias("y"))
         .distinct()
@@ -300,7 +314,9 @@ def cross_pairs(open_: DataFrame, facts: DataFrame, threshold: int) -> DataFrame
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.component") != F.col("b.component"))
             & (F.col("b.big") | (F.col("a.doc") < F.col("b.doc")))
-            & may_link("a", "b", threshold),
+            & may_link("a", "b", threshold)
+            # a pair counts in the first bucket that both have
+            & (F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))),
         )
         .select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y"))
         .distinct()
@@ -329,13 +345,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         .select("key")
     )
     members = materialize(banded.join(buckets, "key"), "members")
-    inside = members.select("doc").distinct()
+    inside = materialize(members.select("doc").distinct(), "in-buckets")
     full = materialize(
         sets(docs.join(inside, docs["doc_id"] == inside["doc"], "left_semi"), size), "sets"
     )
-    facts = full.select("doc", "n", "packed")
-    links = None
-    found = members.select("doc", F.col("doc").alias("component")).distinct()
+    facts = full.select("doc", "n", "packed", "keys")
+    found = inside.select("doc", F.col("doc").alias("component"))
     for turn in range(TURNS + 1):
         open_ = materialize(open_members(members, found), "open-members")
         if turn < TURNS:
@@ -343,10 +358,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         else:
             pairs = cross_pairs(open_, facts, threshold)
         new = materialize(confirmed(pairs, full, threshold), "links")
-        if not new.limit(1).count():
-            continue
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
+        if new.limit(1).count():
+            found = materialize(joined_components(found, new), "components")
 
     class_of = classes.select(F.col("set_id").alias("_set"), F.col("doc").alias("_first"))
     linked = found.select(F.col("doc").alias("_linked"), F.col("component").alias("_component"))
