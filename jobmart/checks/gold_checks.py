@@ -28,12 +28,19 @@ def bridge_of(v):
 
 
 def weights_of(v):
-    no_specialty = v.job_specialty.where("false")
     return gold.category_skill_weight(
-        v.job_category, v.job_skill, no_specialty, v.skill_option
+        v.job_category, v.job_skill, v.job_specialty, all_options(v)
     )
 
 
+def all_options(v):
+    """Options of skills and, under the suppliers' names, of specialties."""
+    suppliers = v.raw("supplier").selectExpr(
+        "concat('S', s_suppkey) AS skill_code", "s_name AS std_skill_name"
+    )
+    return v.skill_option.select("skill_code", "std_skill_name").unionByName(suppliers)
+
+
 def synonyms_of(v):
     """A synonym map over the part names: the smallest brand and type per name, blank for
     names of two kinds."""
@@ -351,11 +358,7 @@ def category_skill_weight_types(v):
         "l_orderkey AS job_id", "p_type AS category_code",
         "concat('all ', p_type) AS category_description",
     )
-    suppliers = v.raw("supplier").selectExpr(
-        "concat('S', s_suppkey) AS skill_code", "s_name AS std_skill_name"
-    )
-    options = v.skill_option.select("skill_code", "std_skill_name").unionByName(suppliers)
-    return gold.category_skill_weight(broad, v.job_skill, v.job_specialty, options)
+    return gold.category_skill_weight(broad, v.job_skill, v.job_specialty, all_options(v))
 
 
 @check(

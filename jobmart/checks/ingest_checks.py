@@ -46,7 +46,7 @@ def known_of(v):
 
 @check(
     "discover_ids",
-    f"""WITH {_LISTING}, body AS (SELECT * FROM listing WHERE page <= 150 QUALIFY row_number()
+    f"""WITH {_LISTING}, body AS (SELECT * FROM listing QUALIFY row_number()
  OVER (PARTITION BY jobcat, page ORDER BY ts, event_id) > 2),
  today AS (SELECT * FROM body WHERE k <> 50 QUALIFY max(CASE WHEN k = 98 THEN 1 ELSE 0 END)
  OVER (PARTITION BY jobcat ORDER BY page, ts, event_id ROWS UNBOUNDED PRECEDING) = 0)
@@ -62,7 +62,7 @@ def discover_ids(v):
     "discover_ids_history",
     f"""WITH {_LISTING} SELECT job_id, 'PENDING' AS status, CASE WHEN k = 98 THEN
  epoch_us(TIMESTAMP '2024-01-09') ELSE epoch_us(TIMESTAMP '2024-01-10') END AS appeardate
- FROM listing WHERE page <= 150 AND k <> 50 AND job_id NOT IN ({_KNOWN}) QUALIFY row_number()
+ FROM listing WHERE k <> 50 AND job_id NOT IN ({_KNOWN}) QUALIFY row_number()
  OVER (PARTITION BY job_id ORDER BY jobcat, page, ts, event_id) = 1""",
     "ev",
 )

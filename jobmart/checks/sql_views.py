@@ -89,13 +89,14 @@ VIEWS: dict[str, tuple[Sequence[str], str]] = {
     ),
     "docs_id": (("docs_on",), "SELECT * FROM docs_on WHERE k <> 13"),
     "weights": (
-        ("job_category", "job_skill", "skill_option"),
+        ("job_category", "job_skill", "job_specialty", "skill_option"),
         """SELECT s.category_code, s.category_name, s.std_skill_name,
  (s.cnt * 20000 + t.total) // (2 * t.total) AS w, t.total, s.cnt,
  s.cnt * 2 >= t.total AS is_core_skill
  FROM (SELECT jc.category_code, jc.category_description AS category_name,
-  o.std_skill_name, count(DISTINCT js.job_id) AS cnt FROM job_category jc
-  JOIN job_skill js ON jc.job_id = js.job_id JOIN skill_option o ON js.skill_code = o.skill_code
+  js.std_skill_name, count(DISTINCT js.job_id) AS cnt FROM job_category jc
+  JOIN (SELECT job_id, std_skill_name FROM job_skill JOIN skill_option USING (skill_code)
+   UNION ALL SELECT job_id, specialty_name FROM job_specialty) js ON jc.job_id = js.job_id
   GROUP BY 1, 2, 3) s
  JOIN (SELECT category_code, count(DISTINCT job_id) AS total FROM job_category
   GROUP BY category_code, category_description) t ON s.category_code = t.category_code""",

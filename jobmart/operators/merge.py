@@ -57,9 +57,19 @@ def upsert(
     return out.select(*target.columns)
 
 
-def insert_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the source rows whose key is new; rows with a NULL key are not inserted."""
-    valid = source.dropna(subset=list(keys)).dropDuplicates(list(keys))
+def insert_ignore(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    first_by: Sequence[Column] | None = None,
+) -> DataFrame:
+    """Add the source rows whose key is new; rows with a NULL key are not inserted.
+
+    Of several source rows with one key the first by ``first_by`` is added, by default in the
+    order of all other columns.
+    """
+    order = first_by or [F.col(c).asc_nulls_last() for c in source.columns if c not in keys]
+    valid = latest_rows(source.dropna(subset=list(keys)), keys, order or [F.lit(0)])
     fresh = valid.join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True)
 
@@ -71,12 +81,18 @@ def keyed_update(
     set_cols: Sequence[str],
     touch: Mapping[str, Column] | None = None,
     first_only_by: Sequence[str] | None = None,
+    newest_first: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Set ``set_cols`` of every target row whose key is in ``changes`` (unique keys).
+    """Set ``set_cols`` of every target row whose key is in ``changes``.
+
+    Of several changes of one key the first by ``newest_first`` counts, by default the one
+    with the greatest values, so that a target row is never doubled.
 
     ``touch`` sets further columns of the matched rows. With ``first_only_by`` only the
     first matching row of a key in that order is changed.
     """
+    order = newest_first or [F.col(c).desc_nulls_last() for c in set_cols]
+    changes = latest_rows(changes, keys, order)
     new = changes.select(*keys, F.struct(*set_cols).alias("_new"), F.lit(True).alias("_hit"))
     base = target
     matched = F.col("_hit").isNotNull()
@@ -101,17 +117,24 @@ def keyed_update(
 
 
 def zero_then_merge(
-    target: DataFrame, fresh: DataFrame, keys: Sequence[str], measures: Sequence[str]
+    target: DataFrame,
+    fresh: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    newest_first: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Refresh ``measures`` from ``fresh`` and set them to 0 for keys it no longer has.
 
     Other columns of ``fresh`` replace the stored ones; columns only the target has (such as
-    a description) are kept.
+    a description) are kept. Of several fresh rows of one key the first by ``newest_first``
+    counts, by default the one with the greatest measures, then the other columns.
     """
+    rest = [c for c in fresh.columns if c not in keys and c not in measures]
+    order = newest_first or [F.col(c).desc_nulls_last() for c in [*measures, *rest]]
     zeroed = target.withColumns(
         {m: F.lit(0).cast(target.schema[m].dataType) for m in measures}
     )
-    return upsert(zeroed, fresh, keys)
+    return upsert(zeroed, fresh, keys, newest_first=order)
 
 
 def replace_table(rows: DataFrame, label: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobmart.operators.sequence import with_group
 from jobmart.shared import materialize
 
 
@@ -49,7 +50,7 @@ def number_within(
     """Consecutive numbers within each group, for groups too large for one window task."""
     numbered = number_rows(df, [*groups, *order], "_pos")
     first = numbered.groupBy(*groups).agg(F.min("_pos").alias("_first"))
-    joined = numbered.join(first, list(groups))
+    joined = with_group(numbered, first, groups, "inner")
     return joined.withColumn(name, F.col("_pos") - F.col("_first") + F.lit(start)).drop(
         "_pos", "_first"
     )

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from jobmart.operators.latest import latest_rows
 
 
+def with_group(df: DataFrame, per_group: DataFrame, groups: Sequence[str], how: str) -> DataFrame:
+    """``df`` with the columns of ``per_group``, one row per group; a NULL group is a group."""
+    renamed = per_group.withColumnsRenamed({g: f"_group_{g}" for g in groups})
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{g}"))
+    return df.join(renamed, same, how).drop(*[f"_group_{g}" for g in groups])
+
+
 def skip_head(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int
 ) -> DataFrame:
@@ -25,7 +34,7 @@ def skip_head(
         .where(F.col("_rank") <= n)
     )
     cut = heads.groupBy(*groups).agg(F.max(F.struct(*order)).alias("_cut"))
-    return df.join(cut, list(groups)).where(F.struct(*order) > F.col("_cut")).drop("_cut")
+    return with_group(df, cut, groups, "inner").where(F.struct(*order) > F.col("_cut")).drop("_cut")
 
 
 def take_while(
@@ -37,7 +46,7 @@ def take_while(
         .groupBy(*groups)
         .agg(F.min(F.struct(*order)).alias("_stop"))
     )
-    joined = df.join(stop, list(groups), "left")
+    joined = with_group(df, stop, groups, "left")
     before = F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))
     return joined.where(before).drop("_stop")
 

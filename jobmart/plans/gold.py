@@ -344,7 +344,7 @@ def salary_stat(
     per_job = parsed.join(bridge.select("job_id", "category_code", "category_name"), "job_id")
     both = F.col("sal_min") + F.col("sal_max")
     mid = (
-        F.sum(both).cast("decimal(28,6)") / (F.count(both) * 2).cast("decimal(10,0)")
+        F.sum(both).cast("decimal(28,6)") / (F.count(both) * 2).cast("decimal(20,0)")
     )
     money = "decimal(18,2)"
     figures = [

@@ -16,7 +16,6 @@ from jobmart.operators.sequence import first_occurrence, skip_head, take_while
 from jobmart.shared import materialize
 
 # --- Fixed values: limits, statuses and zone of the landing rules. ---
-PAGE_CAP = 150
 ADS_PER_PAGE = 2
 PENDING, COMPLETED = "PENDING", "COMPLETED"
 NOT_FOUND = "404_not_found"
@@ -39,7 +38,7 @@ def discover_ids(
     ``ads_per_page=0`` for the full-history form). Rows without a readable date are passed
     over. An id is reported once, where the scan (category, page, position) meets it first.
     """
-    rows = listing.where(F.col("page") <= PAGE_CAP)
+    rows = listing
     if ads_per_page:
         rows = skip_head(rows, ["jobcat", "page"], ["pos"], ads_per_page)
     # Column names are case-insensitive: the parsed time takes the place of the text.

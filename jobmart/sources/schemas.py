@@ -155,15 +155,15 @@ TABLES: dict[str, Table] = {
         lengths={"category_code": 50, "category_name": 100, "std_skill_name": 100},
     ),
     "fact_job_ratio": Table(
-        """category_code string, category_name string, job_count int,
+        """category_code string, category_name string, job_count bigint,
         category_job_ratio decimal(7,4), category_desc string""",
         key=("category_code",),
         required=("category_code", "category_name", "job_count", "category_job_ratio"),
         lengths={"category_code": 50, "category_name": 100, "category_desc": 255},
     ),
     "fact_category_salary_stat": Table(
-        """stat_id int, category_code string, category_name string,
-        salary_type_code string, region_group string, exp_level string, job_count int,
+        """stat_id bigint, category_code string, category_name string,
+        salary_type_code string, region_group string, exp_level string, job_count bigint,
         avg_salary_min decimal(10,2), avg_salary_max decimal(10,2),
         avg_salary_mid decimal(10,2), median_salary decimal(10,2)""",
         key=("category_code", "salary_type_code", "region_group", "exp_level"),

@@ -20,15 +20,17 @@ def start_upsert_latest(
     """Load all available input of a stream, keeping the newest row per key.
 
     Every micro-batch is reduced to its newest row per key and written to its own folder,
-    named by the batch number. A replay after a failure overwrites the same folder, so each
-    input row counts once. The cost of a batch grows with the batch, not with the table, and
+    named by the query's id and the batch number. The id belongs to the checkpoint: a replay
+    after a failure overwrites the same folder, so each input row counts once, while a query
+    with a new checkpoint, whose numbers start again, leaves the older loads alone. The cost of a batch grows with the batch, not with the table, and
     no state store is kept; late rows need no watermark because the read side compares
     times, not arrival.
     """
 
     def store(batch: DataFrame, batch_no: int) -> None:
         newest = latest_rows(batch, keys, newest_first())
-        newest.write.mode("overwrite").parquet(f"{target}/load={batch_no}")
+        name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        newest.write.mode("overwrite").parquet(f"{target}/load={name}-{batch_no}")
 
     return (
         source.writeStream.foreachBatch(store)
@@ -60,4 +62,4 @@ def compact(
 ) -> None:
     """Fold all loads into one in a new folder, for readers to switch to."""
     folded = read_latest(spark, target, schema, keys, newest_first)
-    folded.write.mode("overwrite").parquet(f"{new_target}/load=-1")
+    folded.write.mode("overwrite").parquet(f"{new_target}/load=compacted")

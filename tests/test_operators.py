@@ -253,3 +253,28 @@ def test_match_terms_listed_names_are_exact(spark):
     names = matching.reference_list(items, "c", "n", [F.col("c")])
     got = matching.match_terms(docs, names, ["i"], ["t"], listed="l")
     assert rows_of(got) == [(1, "g", "Go")]
+
+
+def test_null_group_is_a_group(spark):
+    from jobmart.operators import numbering, sequence
+
+    rows = [(None, 1, True), (None, 2, False), (None, 3, True), ("a", 1, True), ("a", 2, True)]
+    df = spark.createDataFrame(rows, "g string, n int, ok boolean")
+    kept = sequence.take_while(df, ["g"], ["n"], F.col("ok")).select("g", "n").collect()
+    assert {tuple(r) for r in kept} == {(None, 1), ("a", 1), ("a", 2)}
+    rest = sequence.skip_head(df, ["g"], ["n"], 1).select("g", "n").collect()
+    assert {tuple(r) for r in rest} == {(None, 2), (None, 3), ("a", 2)}
+    numbered = numbering.number_within(df, ["g"], ["n"]).select("g", "n", "row_no").collect()
+    assert {tuple(r) for r in numbered} == {
+        (None, 1, 1), (None, 2, 2), (None, 3, 3), ("a", 1, 1), ("a", 2, 2)}
+
+
+def test_repeated_changes_do_not_multiply_rows(spark):
+    target = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "k int, name string, n int")
+    changes = spark.createDataFrame([(1, "b", 5), (1, "c", 4)], "k int, name string, n int")
+    got = merge.keyed_update(target, changes, ["k"], ["name"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "c", 0), (2, "y", 0)]
+    got = merge.zero_then_merge(target, changes, ["k"], ["n"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "b", 5), (2, "y", 0)]
+    got = merge.insert_ignore(target.where("k = 2"), changes, ["k"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "b", 5), (2, "y", 0)]

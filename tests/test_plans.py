@@ -284,7 +284,7 @@ def test_discover_ids(spark):
     assert {r["job_id"] for r in got.collect()} == {"a", "c"}
     history = ingest.discover_ids(listing, known, ads_per_page=0, zone="UTC")
     assert {r["job_id"] for r in history.collect()} == {
-        "ad1", "ad2", "a", "c", "ad3", "ad4", "d", "e", "f"}
+        "ad1", "ad2", "a", "c", "ad3", "ad4", "d", "e", "f", "z"}
 
 
 def test_stream_equals_batch_and_survives_replay(spark, data):
@@ -344,7 +344,10 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
             return self.value or default
 
     class Context:
-        master = "spark://cluster"
+        applicationId = "app-1"
+
+        def getCheckpointDir(self):
+            return None
 
     class Session:
         sparkContext = Context()
@@ -352,7 +355,7 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
         def __init__(self, value):
             self.conf = Conf(value)
 
-    assert shared.shared_dir(Session("hdfs:///work/")) == "hdfs:///work"
+    assert shared.shared_dir(Session("hdfs:///work/")) == "hdfs:///work/jobmart-app-1"
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session(None))
 
