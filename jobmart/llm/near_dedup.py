@@ -12,13 +12,15 @@ million.
 Buckets are never expanded into all their pairs. In each of ``TURNS`` turns every member meets
 a few members of its buckets that are not yet in its component, in a random order, and its
 most similar one is confirmed; links give components. At last the members outside the largest
-component of a bucket, few by then, meet all members of its other components. Pairs that are
-left out lie in one component already, so no component is lost.
+component of a bucket, few by then, meet all members of its other components: first pairs whose
+estimate reaches the threshold, then, of what is still apart, all that may reach it. Pairs that
+are left out lie in one component already, so no component is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,17 @@ from pyspark.sql import functions as F
 from jobmart.llm.common import materialize, ready
 
 BANDS, ROWS = 32, 5
-PERMUTATIONS, BITS = 1024, 2
-LONGS = PERMUTATIONS * BITS // 64
+PERMUTATIONS, BITS = 2048, 2
+#: Longs of one bit plane: the first holds the lowest bit of each minimum, and so on.
+PLANE = PERMUTATIONS // 64
+LONGS = PLANE * BITS
 #: Pairs whose estimate is this far below the threshold are dropped: over five deviations.
-SLACK = 0.08
+SLACK = 0.057
 TURNS = 2
 #: Large buckets are cut at random for the turns, not for the last step.
 TURN_MEMBERS = 4096
+#: Outside members of a bucket that one task pairs with the bucket's members.
+BLOCK = 256
 BUFFER = 1 << 18
 
 _random = np.random.default_rng(20_250_102)
@@ -122,10 +128,9 @@ def bucket_names(names: np.ndarray) -> list[int]:
 
 
 def packed_bits(names: np.ndarray) -> np.ndarray:
-    low = (minima(names, PERMUTATIONS) & np.uint32((1 << BITS) - 1)).astype(np.uint64)
-    low = low.reshape(LONGS, -1)
-    places = np.arange(low.shape[1], dtype=np.uint64) * np.uint64(BITS)
-    return np.bitwise_or.reduce(low << places, axis=1).view(np.int64)
+    found = minima(names, PERMUTATIONS)
+    planes = [np.packbits((found >> np.uint32(k)) & np.uint32(1) != 0) for k in range(BITS)]
+    return np.concatenate(planes).view(np.int64)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -187,24 +192,35 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from packed low bits, corrected for chance: (equal - c) / (1 - c)."""
-    odd = F.lit(0x5555555555555555)
-    differ = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for k in range(1, BITS):
-            x = x.bitwiseOR(F.shiftrightunsigned(F.col(a)[i].bitwiseXOR(F.col(b)[i]), k))
-        differ = differ + F.bit_count(x.bitwiseAND(odd))
-    equal = 1 - differ / PERMUTATIONS
-    chance = 2.0**-BITS
-    return (equal - chance) / (1 - chance)
+def facts_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with the packed longs as columns of their own, known not to be null: conditions
+    on them stay short enough for the JVM to compile."""
+    longs = [F.coalesce(F.col("packed")[i], F.lit(0)).alias(f"p{i}") for i in range(LONGS)]
+    return rows.select(*[c for c in rows.columns if c != "packed"], *longs)
 
 
-def may_link(a: str, b: str, threshold: int) -> Column:
+def differing(a: str, b: str) -> Column:
+    """How many of the permutations' low bits differ."""
+    out = None
+    for i in range(PLANE):
+        x = None
+        for at in range(i, LONGS, PLANE):
+            y = F.col(f"{a}.p{at}").bitwiseXOR(F.col(f"{b}.p{at}"))
+            x = y if x is None else x.bitwiseOR(y)
+        out = F.bit_count(x) if out is None else out + F.bit_count(x)
+    return out
+
+
+def most_differing(similarity: float) -> int:
+    """Differing low bits at which the estimate, corrected for those that are equal by chance,
+    is still ``similarity``: (equal - c) / (1 - c) for a chance of c."""
+    return math.floor(PERMUTATIONS * (1 - similarity) * (1 - 2.0**-BITS) + 1e-9)
+
+
+def may_link(a: str, b: str, threshold: int, slack: float = SLACK) -> Column:
     """Sizes and estimate do not speak against the pair."""
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n")
-    return sizes & (estimate(f"{a}.packed", f"{b}.packed") >= threshold / 100 - SLACK)
+    return sizes & (differing(a, b) <= most_differing(threshold / 100 - slack))
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
@@ -262,8 +278,8 @@ def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc, component, m, big): members of buckets that hold several components, with the
-    bucket's size and its largest component."""
+    """(key, doc, component, m, outside, big): members of buckets that hold several components,
+    with the bucket's size, its members outside the largest component, and that component."""
     of = found.withColumnRenamed("doc", "_doc")
     placed = members.join(of, F.col("doc") == F.col("_doc"), "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("component")
@@ -272,6 +288,7 @@ def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
     parts = (
         parts.groupBy("key")
         .agg(F.sum("m").alias("m"), F.count("*").alias("parts"),
+             (F.sum("m") - F.max("m")).alias("outside"),
              F.max_by("component", F.struct("m", "component")).alias("big"))
         .where("parts > 1")
         .drop("parts")
@@ -284,6 +301,7 @@ def best_pairs(open_: DataFrame, facts: DataFrame, threshold: int, turn: int) ->
     part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / TURN_MEMBERS))
     order = Window.partitionBy("key", "part").orderBy(F.xxhash64("key", "doc", F.lit(turn)), "doc")
     near = F.lead(F.struct("doc", "component")).over(order)
+    facts = facts_of(facts)
     pairs = (
         open_.withColumn("part", part)
         .select("doc", "component", near.alias("other"))
@@ -295,26 +313,31 @@ def best_pairs(open_: DataFrame, facts: DataFrame, threshold: int, turn: int) ->
         pairs.join(facts.alias("a"), F.col("x") == F.col("a.doc"))
         .join(facts.alias("b"), F.col("y") == F.col("b.doc"))
         .where(may_link("a", "b", threshold))
-        .select("x", "y", estimate("a.packed", "b.packed").alias("rate"))
+        .select("x", "y", (-differing("a", "b")).alias("rate"))
     )
     both = rated.union(rated.select(F.col("y").alias("x"), F.col("x").alias("y"), "rate"))
     best = both.groupBy("x").agg(F.max_by("y", F.struct("rate", -F.col("y"))).alias("y"))
     return best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def cross_pairs(open_: DataFrame, facts: DataFrame, threshold: int) -> DataFrame:
+def cross_pairs(open_: DataFrame, facts: DataFrame, threshold: int, slack: float) -> DataFrame:
     """All pairs of different components of a bucket that may link. At least one of the two is
-    outside the bucket's largest component."""
+    outside the bucket's largest component. Outside members are dealt into blocks, and the
+    bucket's members go to each of them."""
     rows = open_.join(facts, "doc").withColumn("big", F.col("component") == F.col("big"))
-    rows = materialize(rows, "open-facts")
-    a, b = rows.where("NOT big").alias("a"), rows.alias("b")
+    rows = facts_of(materialize(rows, "open-facts"))
+    blocks = F.ceil(F.col("outside") / BLOCK)
+    a = rows.where("NOT big").withColumn("block", F.pmod(F.xxhash64("doc"), blocks)).alias("a")
+    b = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    b = b.alias("b")
     return (
         a.join(
             b,
             (F.col("a.key") == F.col("b.key"))
+            & (F.col("a.block") == F.col("b.block"))
             & (F.col("a.component") != F.col("b.component"))
             & (F.col("b.big") | (F.col("a.doc") < F.col("b.doc")))
-            & may_link("a", "b", threshold)
+            & may_link("a", "b", threshold, slack)
             # a pair counts in the first bucket that both have
             & (F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))),
         )
@@ -351,12 +374,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     )
     facts = full.select("doc", "n", "packed", "keys")
     found = inside.select("doc", F.col("doc").alias("component"))
-    for turn in range(TURNS + 1):
+    for turn in range(TURNS + 2):
         open_ = materialize(open_members(members, found), "open-members")
         if turn < TURNS:
             pairs = best_pairs(open_, facts, threshold, turn)
         else:
-            pairs = cross_pairs(open_, facts, threshold)
+            pairs = cross_pairs(open_, facts, threshold, 0.0 if turn == TURNS else SLACK)
         new = materialize(confirmed(pairs, full, threshold), "links")
         if new.limit(1).count():
             found = materialize(joined_components(found, new), "components")
