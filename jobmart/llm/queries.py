@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmart.llm import (
-    bm25, licenses, line_dedup, mixing, near_dedup, packing, pu_classifier, quality_rules,
+    bm25, licenses, line_dedup, mixing, near_dedup, oracles, packing, pu_classifier, quality_rules,
     suffix_dedup, token_store,
 )
 from jobmart.llm.common import materialize, new_path
@@ -52,7 +52,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pu_classifier.scored(documents(spark, folder), labels, threshold=0.3)
 
 
-@query("op3_host_rules")
+@query("op3_host_rules", oracles.HOST_RULES)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(documents(spark, folder), host="source").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -60,7 +60,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op4_license_scan")
+@query("op4_license_scan", oracles.LICENSES)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scanned(documents(spark, folder))
 

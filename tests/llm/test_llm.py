@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from jobmart.llm import (
     bm25, licenses, line_dedup, mixing, near_dedup, packing, pu_classifier, quality_rules,
     suffix_dedup, token_store,
 )
-from jobmart.llm.queries import QUERIES, vocabulary
+from jobmart.llm.queries import ORACLE, QUERIES, vocabulary
 from jobmart.llm.tokens import Encoder
 from jobmart.shared import new_path
 
@@ -302,3 +303,16 @@ def test_pipeline_stages(spark, data):
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[2] < counts[1] < counts[0]
     assert cp.pack(spark, docs, data).count() >= counts[-1]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_its_sql(spark, data, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.execute(ORACLE[name])
+    columns = sorted(c[0] for c in want.description)
+    order = [[c[0] for c in want.description].index(c) for c in columns]
+    got = QUERIES[name](spark, data).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(
+        str(tuple(row[i] for i in order)) for row in want.fetchall()
+    )
