@@ -49,6 +49,7 @@ _letters = _random.integers(0, 2**64, 256, np.uint64)
 _factor = np.uint64(int(_random.integers(2**62, 2**63)) | 1)
 _scales = _random.integers(0, 2**32, PERMUTATIONS, np.uint32) | np.uint32(1)
 _shifts = _random.integers(0, 2**32, PERMUTATIONS, np.uint32)
+_numbers = np.arange(PERMUTATIONS, dtype=np.uint64) << np.uint64(32)
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
 
@@ -128,8 +129,11 @@ def bucket_names(names: np.ndarray) -> list[int]:
 
 
 def packed_bits(names: np.ndarray) -> np.ndarray:
-    found = minima(names, PERMUTATIONS)
-    planes = [np.packbits((found >> np.uint32(k)) & np.uint32(1) != 0) for k in range(BITS)]
+    """The low bits of the mixed minima. The low bits of a minimum itself follow from those of
+    its shingle alike under all permutations; mixed with the permutation's number, unequal
+    minima agree in them by chance, each on its own."""
+    found = mixed(minima(names, PERMUTATIONS).astype(np.uint64) | _numbers)
+    planes = [np.packbits((found >> np.uint64(k)) & np.uint64(1) != 0) for k in range(BITS)]
     return np.concatenate(planes).view(np.int64)
 
 
