@@ -72,7 +72,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_line_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = line_dedup.cleaned(documents(spark, folder).select("doc_id", "text"))
+    cleaned = line_dedup.cleaned(documents(spark, folder).select("doc_id", "text"), passages=True)
     spans = F.transform("spans", lambda s: F.concat_ws("-", s["at"], s["until"]))
     return cleaned.select(
         "doc_id",
