@@ -7,6 +7,10 @@ if it holds one of the template's prefix tokens, the ``size - need + 1`` rarest;
 joined to templates on these alone. What is left must have enough tokens at all (length
 filter) and enough of them from the matching place on (positional filter), and is confirmed
 by counting the tokens that both have. No pair above the threshold is lost.
+
+A statement that is wrapped over lines is found by runs of as many words as the template has,
+wherever they start and over line ends. They are looked at in texts that hold enough of the
+template at all.
 """
 
 from __future__ import annotations
@@ -150,6 +154,46 @@ def matched_blocks(blocks: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def _word_among(tokens: list[str]):
+    return lambda place: place["word"].isin(tokens)
+
+
+def _words_ahead(hits: Column, length: int):
+    """How many distinct words among ``hits`` the run of ``length`` words from a hit on holds."""
+
+    def held(h: Column, i: Column) -> Column:
+        run = F.filter(F.slice(hits, i + 1, length), lambda g: g["at"] < h["at"] + length)
+        return F.size(F.array_distinct(run["word"]))
+
+    return held
+
+
+def wrapped(texts: DataFrame) -> DataFrame:
+    """Adds ``_wrapped``, an array of (label, containment) of the templates of which a run of
+    words of their length holds ``CONTAINMENT`` at least, to texts of several lines (``_low``,
+    and ``_held``, the template tokens in the text)."""
+    found = []
+    for k, (label, text) in enumerate(TEMPLATES):
+        tokens = template_tokens(text)
+        need = math.ceil(CONTAINMENT * len(tokens) - 1e-9)
+        length = len(re.findall(r"[0-9a-z]+", text.lower()))
+        among, hits = F.array(*map(F.lit, tokens)), F.col(f"_hits{k}")
+        may = (F.size(F.array_intersect("_held", among)) >= need) & F.col("_low").contains("\n")
+        places = F.transform(
+            words(F.col("_low")), lambda w, i: F.struct(i.alias("at"), w.alias("word"))
+        )
+        texts = texts.withColumn(
+            f"_hits{k}", F.when(may, F.filter(places, _word_among(tokens)))
+        )
+
+        most = F.array_max(F.transform(hits, _words_ahead(hits, length)))
+        share = (most / len(tokens)).alias("containment")
+        found.append(F.when(most >= need, F.struct(F.lit(label).alias("label"), share)))
+    return texts.withColumn("_wrapped", F.array_compact(F.array(*found))).drop(
+        *[f"_hits{k}" for k in range(len(TEMPLATES))]
+    )
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every
     row of ``docs`` (``doc_id``, ``text``; others are ignored).
@@ -170,13 +214,17 @@ def scanned(docs: DataFrame) -> DataFrame:
     rare = F.array(*map(F.lit, sorted(prefixes, key=rank.get)))
     places = F.array(*map(F.lit, order))
     # Only lines with a prefix token can match; most texts have none.
-    lines = F.filter(line_tokens(F.col("_low"), order), lambda x: F.arrays_overlap(x, rare))
+    lines = F.filter("_lines", lambda x: F.arrays_overlap(x, rare))
     ordered = F.transform(lines, lambda x: F.array_intersect(places, x))
     measured = materialize(
-        phrases_found(texts)
-        .withColumn("blocks", ordered)
+        wrapped(
+            phrases_found(texts)
+            .withColumn("_lines", line_tokens(F.col("_low"), order))
+            .withColumn("blocks", ordered)
+            .withColumn("_held", F.array_distinct(F.flatten("_lines")))
+        )
         .withColumn("key", F.monotonically_increasing_id())
-        .drop("_low"),
+        .drop("_low", "_lines", "_held"),
         "license-blocks",
     )
     blocks = measured.select("key", F.posexplode("blocks").alias("block", "tokens"))
@@ -186,10 +234,11 @@ def scanned(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     )
     empty = F.array().cast("array<string>")
-    more = F.coalesce("_more", empty)
+    more = F.array_union(F.coalesce("_more", empty), F.col("_wrapped.label"))
+    best = F.greatest("_best", F.array_max("_wrapped.containment"))
     return measured.join(by_doc, F.col("key") == F.col("_key"), "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base", more)), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
