@@ -122,34 +122,61 @@ def synonym_catalog(synonyms: DataFrame) -> DataFrame:
     )
 
 
+def _result_order() -> list[Column]:
+    """Which of several results or entries of one name comes first."""
+    return [
+        F.col(c).asc_nulls_last() for c in ("raw_skill_name", "std_skill_name", "skill_category")
+    ]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_same", same_name(F.col("raw_skill_name")))
+
+
 def merge_mapping(
     synonyms: DataFrame, results: DataFrame, now: Column
 ) -> DataFrame:
-    """Store mapping results (unique raw names) in the synonym map."""
-    stamped = results.withColumns({"create_time": now, "update_time": now})
-    return upsert(
-        synonyms,
+    """Store mapping results in the synonym map; names compare without case and accents.
+
+    A stored name keeps its spelling. Of several results of one name the first counts, by
+    spelling, then by standard name and category.
+    """
+    stamped = _keyed(results).withColumns({"create_time": now, "update_time": now})
+    merged = upsert(
+        _keyed(synonyms),
         stamped,
-        ["raw_skill_name"],
+        ["_same"],
         update_cols=["std_skill_name", "skill_category", "update_time"],
+        newest_first=_result_order(),
     )
+    return merged.drop("_same")
 
 
 def map_options(options: DataFrame, results: DataFrame) -> DataFrame:
-    """Write mapping results onto every option with that raw name."""
-    return keyed_update(
-        options, results, ["raw_skill_name"], ["std_skill_name", "skill_category"]
+    """Write mapping results onto every option with that raw name, compared as in
+    ``merge_mapping`` and with the same choice among results."""
+    changed = keyed_update(
+        _keyed(options),
+        _keyed(results),
+        ["_same"],
+        ["std_skill_name", "skill_category"],
+        newest_first=_result_order(),
     )
+    return changed.drop("_same")
 
 
 def apply_synonyms(options: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Standard name and category of each option from the map; NULL when it has none."""
-    known = synonyms.select(
-        same_name(F.col("raw_skill_name")).alias("_same"), "std_skill_name", "skill_category"
-    )
-    bare = options.drop("std_skill_name", "skill_category").withColumn(
-        "_same", same_name(F.col("raw_skill_name"))
+    """Standard name and category of each option from the map; NULL when it has none.
+
+    Of several entries of one name those with a standard name come first, then the order is
+    that of ``merge_mapping``.
+    """
+    named = _keyed(synonyms).where("_same IS NOT NULL")
+    order = [is_blank(F.col("std_skill_name")).asc(), *_result_order()]
+    known = latest_rows(named, ["_same"], order).select(
+        "_same", "std_skill_name", "skill_category"
     )
+    bare = _keyed(options.drop("std_skill_name", "skill_category"))
     return bare.join(known, "_same", "left").select(options.columns)
 
 
