@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmart.llm import (
-    bm25, licenses, line_dedup, mixing, near_dedup, oracles, packing, pu_classifier, quality_rules,
+    bm25, byte_bpe, licenses, line_dedup, mixing, near_dedup, oracles, packing, pu_classifier, quality_rules,
     suffix_dedup, token_store,
 )
 from jobmart.llm.common import materialize, new_path
@@ -122,3 +122,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(documents(spark, folder), least=100).drop("kept")
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    docs = documents(spark, folder).select("doc_id", "text")
+    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(ids, path).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
