@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from jobmart.llm.common import LOWER, UPPER
 from jobmart.llm.licenses import TEMPLATES, template_tokens
 
 HOST_RULES = r"""
@@ -110,3 +111,36 @@ SELECT doc_id, n_words, CAST(len(spots) AS BIGINT) AS n_base,
 FROM based LEFT JOIN more USING (r)
 """
 )
+
+COLLOCATIONS = f"""WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+ translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\\n\\x0B\\f\\r]')) AS p FROM documents),
+ word AS (SELECT lang, regexp_extract_all(p, '[^ \\t]+') AS w FROM piece),
+ spot AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM word),
+ gram AS (SELECT lang, unnest([1, 2, 3]) AS size, unnest([w[i],
+ CASE WHEN i + 1 <= len(w) THEN concat(w[i], ' ', w[i + 1]) END,
+ CASE WHEN i + 2 <= len(w) THEN concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) END]) AS phrase
+ FROM spot),
+ f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS a FROM gram
+ WHERE phrase IS NOT NULL GROUP BY ALL),
+ total AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+ cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+ cut AS (SELECT c.lang, c.size, c.phrase, c.a, k, x.a AS l, y.a AS r,
+ (1000000 * c.a * c.a) // (x.a * y.a) AS score
+ FROM (SELECT *, unnest(CASE WHEN size = 2 THEN [1] ELSE [1, 2] END) AS k FROM cand) c
+ JOIN f x ON x.lang = c.lang AND x.size = k
+ AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+ JOIN f y ON y.lang = c.lang AND y.size = c.size - k
+ AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.size), ' ')),
+ best AS (SELECT * FROM cut
+ QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ outside AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([
+ concat(w[1], ' ', w[2]), concat(w[2], ' ', w[3])]) AS phrase FROM cand WHERE size = 3)
+ GROUP BY ALL),
+ kept AS (SELECT b.* FROM best b LEFT JOIN outside o ON o.lang = b.lang AND o.phrase = b.phrase
+ WHERE o.a IS NULL OR 100 * o.a < 50 * b.a),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY lang
+ ORDER BY score DESC, a DESC, encode(phrase)) AS place FROM kept)
+ SELECT p.lang, CAST(place AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a,
+ CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+ CAST(score AS BIGINT) AS score
+ FROM placed p JOIN total t ON t.lang = p.lang WHERE place <= 2000"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmart.llm import (
-    bm25, byte_bpe, licenses, line_dedup, mixing, near_dedup, oracles, packing, pu_classifier, quality_rules,
+    bm25, byte_bpe, collocations, licenses, line_dedup, mixing, near_dedup, oracles, packing, pu_classifier, quality_rules,
     suffix_dedup, token_store,
 )
 from jobmart.llm.common import materialize, new_path
@@ -137,3 +137,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_phrase_collocations", oracles.COLLOCATIONS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
