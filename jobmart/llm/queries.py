@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmart.llm import (
     bm25, byte_bpe, collocations, licenses, line_dedup, mixing, near_dedup, oracles, packing, pu_classifier, quality_rules,
-    suffix_dedup, token_store,
+    suffix_dedup, token_store, whitening,
 )
 from jobmart.llm.common import materialize, new_path
 
@@ -142,3 +142,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_phrase_collocations", oracles.COLLOCATIONS)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(documents(spark, folder))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"), components=4)
