@@ -169,7 +169,7 @@ def merged(word: Column, ranks: RankMap) -> Column:
 
     start = F.get(F.transform(F.array(ids), opened), F.lit(0))
     finish = lambda state: F.transform(state, lambda x: x.bitwiseAND(id_mask).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(word)), start, step, finish)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step, finish)
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -303,32 +303,6 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
         yield start, last
 
 
-def encode(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids"
-) -> DataFrame:
-    """The rows of ``docs`` without ``text``, with ``name``: the ids of the whole text as
-    little-endian unsigned 32-bit numbers (binary). A column ``name`` of ``docs`` is replaced."""
-    spark = docs.sparkSession
-    ready(spark)
-    ranks, split = rank_map(path), F.lit(java_pattern(spark, pattern))
-    kept = [c for c in docs.columns if c not in (text, name)]
-    plain = docs.select(
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)],
-        F.regexp_extract_all(F.col(f"`{text}`"), split, F.lit(0)).alias("words"),
-    )
-    fields = plain.schema.fields[:-1]
-    batches = plain.mapInArrow(
-        lambda b: _split(path, b),
-        "kept binary, sizes binary, numbers binary, known binary, fresh boolean,"
-        " words array<array<tinyint>>",
-    )
-    # a row holds all words of its batch: no word is folded twice in a task
-    folded = batches.withColumn("words", F.transform("words", lambda w: merged(w, ranks)))
-    out = folded.mapInArrow(_join, T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
-    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
-    return out.select(*named, F.col("ids").alias(name))
-
-
 def _decoded(path: str, batches: Iterator[pa.RecordBatch]):
     ranks = read_ranks(path)
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -361,3 +335,44 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "decoded
     out = plain.mapInArrow(lambda b: _decoded(path, b), schema)
     named = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
     return out.select(*named, F.col("ids").alias(ids), F.col("decoded").alias(name))
+
+
+def encode(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    name: str = "ids",
+    decoded: str | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` without ``text``, with ``name``: the ids of the whole text as
+    little-endian unsigned 32-bit numbers (binary). A column ``name`` of ``docs`` is replaced.
+
+    ``decoded`` names a further column with the bytes that :func:`decode` makes of the ids, for
+    round trips; they are taken from the ids in the same Python task.
+    """
+    spark = docs.sparkSession
+    ready(spark)
+    ranks, split = rank_map(path), F.lit(java_pattern(spark, pattern))
+    kept = [c for c in docs.columns if c not in (text, name, decoded)]
+    plain = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)],
+        F.regexp_extract_all(F.col(f"`{text}`"), split, F.lit(0)).alias("words"),
+    )
+    fields = plain.schema.fields[:-1]
+    batches = plain.mapInArrow(
+        lambda b: _split(path, b),
+        "kept binary, sizes binary, numbers binary, known binary, fresh boolean,"
+        " words array<array<tinyint>>",
+    )
+    # a row holds all words of its batch: no word is folded twice in a task
+    folded = batches.withColumn("words", F.transform("words", lambda w: merged(w, ranks)))
+    fields.append(T.StructField("ids", T.BinaryType()))
+    if decoded is None:
+        out = folded.mapInArrow(_join, T.StructType(fields))
+    else:
+        fields.append(T.StructField("decoded", T.BinaryType()))
+        out = folded.mapInArrow(lambda b: _decoded(path, _join(b)), T.StructType(fields))
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
+    made = {"ids": name, "decoded": decoded}
+    return out.select(*named, *[F.col(c).alias(n) for c, n in made.items() if n])

@@ -130,8 +130,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 
     path = vocabulary("byte_bpe_50k.tiktoken")
     docs = documents(spark, folder).select("doc_id", "text")
-    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, path).select(
+    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    return ids.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
