@@ -11,6 +11,7 @@ def _load():
         registry,
         serve_checks,
         silver_checks,
+        stored_checks,
     )
 
     return registry

@@ -133,6 +133,12 @@ VIEWS: dict[str, tuple[Sequence[str], str]] = {
         "SELECT c.job_id, category_code, category_description AS category_name"
         " FROM job_category c JOIN job j ON c.job_id = j.job_id WHERE url_status = 'on'",
     ),
+    "parsed": (
+        ("cards", "bridge"),
+        f"""SELECT c.job_id, category_code, salary_type_code, region_group,
+ {EXP_CASE.format("exp_edu_text")} AS exp_level, CAST({_LOW} AS DOUBLE) AS lo,
+ CAST({_HIGH} AS DOUBLE) AS hi FROM cards c JOIN bridge b ON c.job_id = b.job_id""",
+    ),
     "stat": (
         ("cards", "bridge"),
         f"""SELECT category_code, max(category_name) AS category_name, salary_type_code,

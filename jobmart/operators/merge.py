@@ -31,8 +31,10 @@ def upsert(
 
     Target columns outside ``update_cols`` keep their value on an update and take the source
     value on an insert (or ``defaults``, or NULL when the source lacks the column). The
-    source needs unique keys unless ``newest_first`` says which of its rows wins.
+    source needs unique keys unless ``newest_first`` says which of its rows wins. Source rows
+    with a NULL in the key are left out: a primary key takes none, and none would ever match.
     """
+    source = source.dropna(subset=list(keys))
     if newest_first is not None:
         source = latest_rows(source, keys, newest_first)
     values = [c for c in target.columns if c not in keys]

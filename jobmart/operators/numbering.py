@@ -75,3 +75,28 @@ def positional_join(
 ) -> DataFrame:
     """Pair the i-th row of one table with the i-th of the other, up to the shorter one."""
     return number_rows(left, left_order).join(number_rows(right, right_order), "row_no")
+
+
+def allocate_ids(
+    known: DataFrame, rows: DataFrame, keys: Sequence[str], name: str, start: int = 1
+) -> DataFrame:
+    """The keys of ``known`` and ``rows`` with lasting ids.
+
+    ``known`` holds ``keys`` and the id ``name`` of earlier loads, which stay; keys that only
+    ``rows`` has continue after the largest id, in key order, without gaps. Only the new keys
+    are sorted, so a load costs by what is new. Keys compare null-safe, as in a grouping.
+    """
+    marked = known.select(*keys, name, F.lit(0).alias("_new")).unionByName(
+        rows.select(*keys).distinct().withColumns(
+            {name: F.lit(None).cast(known.schema[name].dataType), "_new": F.lit(1)}
+        )
+    )
+    # one group per key keeps NULL keys together, which an anti join would not
+    grouped = marked.groupBy(*keys).agg(F.max(name).alias(name), F.min("_new").alias("_new"))
+    fresh = grouped.where("_new = 1").select(*keys)
+    largest = known.agg(F.coalesce(F.max(name), F.lit(start - 1)).cast("long")).first()[0]
+    numbered = number_rows(fresh, keys, "_no", start=1)
+    new = numbered.select(
+        *keys, (F.col("_no") + F.lit(largest)).cast(known.schema[name].dataType).alias(name)
+    )
+    return known.select(*keys, name).unionByName(new)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobmart.shared import materialize
+
 
 def constraint_report(
     df: DataFrame,
@@ -47,3 +49,61 @@ def constraint_report(
 def cascade_children(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent still exists."""
     return children.join(parents.select(key), key, "left_semi")
+
+
+def cascade_delete(
+    tables: Mapping[str, DataFrame],
+    references: Mapping[str, Mapping[str, tuple[str, str]]],
+    removed: Mapping[str, DataFrame],
+) -> dict[str, DataFrame]:
+    """All tables after rows were deleted with everything that refers to them.
+
+    ``references[child][column] = (parent, key)`` are the declared references, in any graph:
+    children of children follow to any depth, and tables that refer to themselves or to one
+    another are followed until nothing more goes. ``removed`` holds, by table, the rows to
+    delete, with the columns that name them. A NULL reference refers to nothing and stays; so
+    does one to a key that was not there before, which is a violation and not a cascade.
+    """
+    named: dict[str, list[str]] = {}
+    for columns in references.values():
+        for parent, key in columns.values():
+            if parent in tables and key not in named.setdefault(parent, []):
+                named[parent].append(key)
+
+    def lost_rows(child: str, lost: Mapping[str, DataFrame]) -> list[DataFrame]:
+        """Rows of ``child`` that refer to a lost key, once for each reference."""
+        return [
+            tables[child].join(lost[parent].select(F.col(key).alias(column)), column, "left_semi")
+            for column, (parent, key) in references.get(child, {}).items()
+            if parent in lost
+        ]
+
+    # of the lost rows only the keys that others refer to are carried along
+    fresh = {
+        name: tables[name].join(rows, rows.columns, "left_semi").select(*named[name]).distinct()
+        for name, rows in removed.items()
+        if name in named
+    }
+    gone = dict(fresh)
+    while fresh:
+        found = {}
+        for child in named:
+            parts = [rows.select(*named[child]) for rows in lost_rows(child, fresh)]
+            if parts:
+                keys = reduce(DataFrame.unionByName, parts).distinct()
+                keys = keys.subtract(gone[child]) if child in gone else keys
+                # written once: the next generation and the deletion both read it
+                found[child] = materialize(keys, "cascade")
+        fresh = {child: keys for child, keys in found.items() if not keys.isEmpty()}
+        for child, keys in fresh.items():
+            gone[child] = gone[child].unionByName(keys) if child in gone else keys
+    out = {}
+    for name, rows in tables.items():
+        if name in removed:
+            rows = rows.join(removed[name], removed[name].columns, "left_anti")
+        for column, (parent, key) in references.get(name, {}).items():
+            if parent in gone:
+                lost = gone[parent].select(F.col(key).alias(column))
+                rows = rows.join(lost, column, "left_anti")
+        out[name] = rows.select(*tables[name].columns)
+    return out

@@ -13,6 +13,9 @@ from jobmart.functions.salary import MONEY, salary_max, salary_min
 from jobmart.functions.text import is_blank, same_name
 from jobmart.operators.latest import latest_rows
 from jobmart.operators.merge import insert_ignore, keyed_update, upsert, zero_then_merge
+from jobmart.operators.numbering import allocate_ids
+from jobmart.operators.sequence import with_group
+from jobmart.operators.statistics import exact_medians
 
 # --- Fixed values: thresholds, texts and category names of the gold tables. ---
 CORE_SHARE = "0.5000"
@@ -387,3 +390,27 @@ def salary_stat(
     if with_median:
         figures.append(F.median(both / 2).alias("true_median"))
     return per_job.groupBy(*group).agg(*figures)
+
+
+def salary_medians(cards: DataFrame, bridge: DataFrame, unit_aware: bool = False) -> DataFrame:
+    """The exact median of the salary midpoints per group of :func:`salary_stat`, for groups of
+    any size; NULL where no card of the group states both bounds."""
+    parsed = cards.select(
+        "job_id", "salary_type_code", "region_group",
+        exp_bucket(F.col("exp_edu_text")).alias("exp_level"),
+        ((salary_min(F.col("salary_text")) + salary_max(F.col("salary_text"), unit_aware)) / 2)
+        .cast("double").alias("_mid"),
+    )
+    joined = parsed.join(bridge.select("job_id", "category_code"), "job_id")
+    group = ["category_code", "salary_type_code", "region_group", "exp_level"]
+    return exact_medians(joined, group, "_mid", "true_median")
+
+
+def salary_stat_table(stat: DataFrame, stored: DataFrame) -> DataFrame:
+    """New content of the stored salary table: the groups of ``stat`` with their lasting
+    ``stat_id``. A group that is stored already keeps its id, a new one continues after the
+    largest, and groups without postings leave the table, as a truncate and reload has it."""
+    key = ["category_code", "salary_type_code", "region_group", "exp_level"]
+    ids = allocate_ids(stored.select(*key, "stat_id"), stat, key, "stat_id")
+    named = with_group(stat, ids, key, "inner")
+    return named.select("stat_id", *stat.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jobmart.functions.convert import batch_id, compact_day, epoch_or, instant
 from jobmart.functions.text import url_path_id
+from jobmart.operators.latest import latest_rows
 from jobmart.operators.merge import keyed_update
 from jobmart.operators.numbering import number_rows
 from jobmart.operators.sequence import first_occurrence, skip_head, take_while
@@ -93,13 +94,18 @@ def stale_rows(job: DataFrame, now: dt.datetime, check_appeared: bool = True) ->
     return rows
 
 
-def apply_liveness(job: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Set the status from check results (job_id, status, switch; one per posting).
+def apply_liveness(
+    job: DataFrame, results: DataFrame, now: Column, newest_first: Sequence[Column] | None = None
+) -> DataFrame:
+    """Set the status from check results (job_id, status, switch).
 
     A page that is gone or switched off turns the posting off, any other reply turns it on,
-    and both count as an update. A NULL status and switch, or no row, means no reply.
+    and both count as an update. A NULL status and switch, or no row, means no reply. Of several
+    replies for a posting the first by ``newest_first`` counts; without it there may be one.
     """
     replied = results.where("status IS NOT NULL OR switch IS NOT NULL")
+    if newest_first is not None:
+        replied = latest_rows(replied, ["job_id"], newest_first)
     gone = F.coalesce(F.col("status") == NOT_FOUND, F.lit(False))
     off = F.coalesce(F.col("switch") == "off", F.lit(False))
     verdict = replied.select(

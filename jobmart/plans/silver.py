@@ -14,6 +14,7 @@ from jobmart.operators.latest import latest_rows, latest_values
 from jobmart.operators.matching import match_terms, reference_list
 from jobmart.operators.merge import upsert
 from jobmart.operators.nested import as_array, first_index, unwind
+from jobmart.sources import parted
 
 # --- Fixed values: codes and tags carried into the silver tables. ---
 NEGOTIABLE_SALARY_TYPE = 10
@@ -155,6 +156,23 @@ def silver_job(bronze: DataFrame, now: Column, as_of: dt.date | None = None) ->
     return project_job(newest, now)
 
 
+def load_silver_job(
+    path: str, bronze: DataFrame, now: Column, as_of: dt.date | None = None, parts: int = 256
+) -> list[int]:
+    """Load the postings into the stored table at ``path`` and give the parts it rewrote.
+
+    A known posting takes the values of its newest document but keeps its status, which the
+    liveness check may have changed since; a new posting takes its status from the document.
+    The first load creates the table.
+    """
+    rows = silver_job(bronze, now, as_of)
+    if not parted.exists(bronze.sparkSession, path):
+        parted.create(rows, path, ["job_id"], parts)
+        return list(range(parts))
+    updated = [c for c in rows.columns if c not in ("job_id", *JOB_KEPT_ON_UPDATE)]
+    return parted.upsert(path, rows, update_cols=updated)
+
+
 def silver_job_category(bronze: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """Categories over all snapshots; per key the newest snapshot gives text and position."""
     docs = active_documents(bronze, as_of).select(

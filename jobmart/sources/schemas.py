@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,3 +225,52 @@ def declared_report(table: str, tables: dict[str, DataFrame]) -> DataFrame:
             if parent in tables
         },
     )
+
+
+def judged(df: DataFrame, table: str) -> DataFrame:
+    """``df`` as :func:`conform` has it, with ``reasons`` and ``raw``.
+
+    ``reasons`` lists, in column order, ``type:c`` where a value does not fit the declared type,
+    ``null:c`` where a required value is missing and ``length:c`` where a text is too long; it
+    is empty for an acceptable row. ``raw`` is the incoming row as JSON if there is a reason.
+    """
+    spec = TABLES[table]
+    columns, reasons = [], []
+    for item in spec.schema:
+        given = F.col(item.name) if item.name in df.columns else F.lit(None)
+        value = given.try_cast(item.dataType)
+        columns.append(value.alias(item.name))
+        unfit = given.isNotNull() & value.isNull()
+        found = F.when(unfit, F.lit(f"type:{item.name}"))
+        if item.name in spec.required:
+            found = found.when(given.isNull(), F.lit(f"null:{item.name}"))
+        if item.name in spec.lengths:
+            over = F.length(value) > spec.lengths[item.name]
+            found = found.when(over, F.lit(f"length:{item.name}"))
+        reasons.append(found)
+    why = F.array_compact(F.array(*reasons))
+    raw = F.when(F.size(why) > 0, F.to_json(F.struct(*df.columns)))
+    return df.select(*columns, why.alias("reasons"), raw.alias("raw"))
+
+
+def land(df: DataFrame, table: str, path: str) -> None:
+    """Write ``df`` in one pass: acceptable rows under ``accepted=true``, the others with their
+    reasons and raw text under ``accepted=false``. Nothing is lost or emptied silently."""
+    marked = judged(df, table).withColumn("accepted", F.size("reasons") == 0)
+    marked.write.partitionBy("accepted").parquet(path)
+
+
+def landed(spark: SparkSession, table: str, path: str, accepted: bool = True) -> DataFrame:
+    """The accepted rows of :func:`land` in their declared types, or the rejected ones with
+    ``reasons`` and ``raw``."""
+    columns = TABLES[table].schema
+    schema = T.StructType(
+        [
+            *columns.fields,
+            T.StructField("reasons", T.ArrayType(T.StringType())),
+            T.StructField("raw", T.StringType()),
+            T.StructField("accepted", T.BooleanType()),
+        ]
+    )
+    rows = spark.read.schema(schema).parquet(path).where(F.col("accepted") == accepted)
+    return rows.select(*columns.names) if accepted else rows.drop("accepted")
