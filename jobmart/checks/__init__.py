@@ -8,6 +8,7 @@ def _load():
         gold_checks,
         ingest_checks,
         merge_checks,
+        read_checks,
         registry,
         serve_checks,
         silver_checks,

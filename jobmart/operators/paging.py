@@ -6,9 +6,14 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobmart.operators.numbering import number_rows
+
+#: Rows of a stored block; a page reads the one or two blocks it lies in.
+BLOCK_ROWS = 100_000
+
 
 def where_all(df: DataFrame, conditions: Sequence[Column | None]) -> DataFrame:
     """Apply the conditions that are set; with none set the table passes unchanged."""
@@ -27,6 +32,29 @@ def page_of(df: DataFrame, order: Sequence[Column], page: int, per_page: int) ->
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
+def store_pages(
+    df: DataFrame, order: Sequence[Column], path: str, block_rows: int = BLOCK_ROWS
+) -> None:
+    """Store ``df`` with ``row_no`` in ``order``, a total order, cut into folders of
+    ``block_rows`` consecutive rows."""
+    numbered = number_rows(df, order, "row_no")
+    block = F.floor((F.col("row_no") - 1) / block_rows).cast("long")
+    placed = numbered.withColumn("block", block)
+    placed.repartition("block").write.partitionBy("block").parquet(path)
+    size = df.sparkSession.createDataFrame([(block_rows,)], "block_rows long")
+    size.write.parquet(f"{path}/_size")
+
+
+def read_page(spark: SparkSession, path: str, page: int, per_page: int) -> DataFrame:
+    """Page ``page`` of rows stored by :func:`store_pages`, in their order. Only the folders
+    the page lies in are read, so every page costs the same."""
+    block_rows = spark.read.parquet(f"{path}/_size").first()[0]
+    low, high = (page - 1) * per_page + 1, page * per_page
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    here = F.col("block").between((low - 1) // block_rows, (high - 1) // block_rows)
+    return rows.where(here & F.col("row_no").between(low, high)).orderBy("row_no").drop("block")
+
+
 def page_total(df: DataFrame, key: str, per_page: int) -> DataFrame:
     """Exact number of distinct keys and of pages; an empty result still has one page."""
     total = df.agg(F.count_distinct(key).alias("total_count"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmart.functions.labels import (
@@ -23,8 +23,17 @@ from jobmart.functions.labels import (
     star_tier,
 )
 from jobmart.functions.text import or_default
+from jobmart.operators.latest import latest_rows
 from jobmart.operators.nested import parse_json_array
-from jobmart.operators.paging import equals_unless_all, page_of, page_total, where_all
+from jobmart.operators.paging import (
+    BLOCK_ROWS,
+    equals_unless_all,
+    page_of,
+    page_total,
+    read_page,
+    store_pages,
+    where_all,
+)
 
 # --- Fixed values: texts and sizes of the read side. ---
 OTHER_SKILLS = "其他技能"
@@ -162,6 +171,75 @@ def gap_skills(
     return core.select(columns).unionByName(fill.select(columns))
 
 
+def recommend_with_gaps(
+    weights: DataFrame,
+    ratios: DataFrame,
+    selected: Sequence[str] | DataFrame,
+    wanted: int = GAP_SKILLS,
+    thresholds: Sequence[tuple[float, int]] = STAR_THRESHOLDS,
+) -> DataFrame:
+    """:func:`recommend` with ``missing_skills`` of each recommended category: all missing core
+    skills, then the heaviest others until there are ``wanted``.
+
+    The weights are read once and shuffled once by category: the rank among the others and the
+    sums of a category come from the same partitioning. A category holds at most one row for
+    each standard skill, and its lists no more than its core skills and ``wanted`` others. Of
+    several names of a code in ``ratios`` the smallest counts.
+    """
+    flagged = _is_selected(selected, weights)
+    # others first, so that their rank is their row number
+    other = ~F.col("hit") & ~F.col("is_core_skill")
+    order = Window.partitionBy("category_code").orderBy(
+        other.desc(), F.col("weight").desc(), "std_skill_name"
+    )
+    placed = flagged.withColumn("_rank", F.when(other, F.row_number().over(order)))
+    entry = F.struct(-F.col("weight"), "std_skill_name")
+    zero = F.lit(0).cast("decimal(7,4)")
+    gathered = placed.groupBy("category_code").agg(
+        F.sum("weight").cast("decimal(14,4)").alias("total"),
+        F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(zero))
+        .cast("decimal(14,4)")
+        .alias("matched"),
+        F.collect_list(F.when(F.col("hit"), F.col("std_skill_name"))).alias("_have"),
+        F.collect_list(F.when(~F.col("hit") & F.col("is_core_skill"), entry)).alias("_core"),
+        F.collect_list(F.when(F.col("_rank") <= wanted, entry)).alias("_other"),
+    )
+
+    def names(entries: Column) -> Column:
+        return F.transform(F.sort_array(entries), lambda e: e["std_skill_name"])
+
+    room = F.greatest(F.lit(0), F.lit(wanted) - F.size("_core"))
+    missing = F.concat(names(F.col("_core")), F.slice(names(F.col("_other")), F.lit(1), room))
+    percent = F.col("matched").cast("decimal(20,4)") / F.col("total") * 100
+    matching = gathered.where("total > 0").where(percent > F.lit("0.0001").cast("decimal(5,4)"))
+    info = latest_rows(
+        ratios.select("category_code", "category_name", "category_job_ratio"),
+        ["category_code"],
+        [F.asc_nulls_last("category_name"), F.desc_nulls_last("category_job_ratio")],
+    )
+    share = F.coalesce(F.col("category_job_ratio"), zero)
+    score = (F.col("matched") * share * 10000).cast("decimal(24,8)") / F.col("total")
+    return matching.join(info, "category_code", "left").select(
+        "category_code",
+        F.coalesce("category_name", F.col("category_code").cast("string")).alias("category_name"),
+        F.round(percent, 2).cast("decimal(7,2)").alias("match_percent"),
+        F.round(score, 2).cast("decimal(12,2)").alias("score"),
+        F.sort_array("_have").alias("matched_skills"),
+        missing.alias("missing_skills"),
+        star_tier(score, thresholds).alias("stars"),
+    )
+
+
+def tier_lists(recommended: DataFrame) -> DataFrame:
+    """The recommended categories of each star tier that occurs, best match first."""
+    entry = F.struct(-F.col("match_percent"), "category_code")
+    return recommended.groupBy("stars").agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["category_code"]).alias(
+            "categories"
+        )
+    )
+
+
 def set_overlap(
     categories: DataFrame, selected: Sequence[str], required: str = "required_skills"
 ) -> DataFrame:
@@ -251,6 +329,41 @@ def salary_map(
     )
 
 
+def salary_map_of(
+    stat: DataFrame,
+    ratios: DataFrame,
+    salary_type: str,
+    category_code: str,
+    requested_name: str | None = None,
+) -> DataFrame:
+    """The salary map of one category: always six regions, with the category's name.
+
+    The name is the requested one unless that is blank or the code itself, then the stored one,
+    then the code. Regions, or a whole category, without figures show zero postings.
+    """
+    spark = stat.sparkSession
+    code = category_code.strip()
+    regions = [(code, r) for r in REGION_CODES]
+    grid = spark.createDataFrame(regions, "category_code string, region string")
+    found = salary_map(stat, salary_type, code).withColumn(
+        "category_code", F.col("category_code").cast("string")
+    )
+    stored = ratios.where(F.col("category_code").cast("string") == code).where("category_name != ''")
+    name = stored.agg(F.min("category_name"))
+    if requested_name and requested_name.strip() and requested_name.strip() != code:
+        shown = F.lit(requested_name)
+    else:
+        shown = F.coalesce(name.scalar(), F.lit(code))
+    return grid.join(found, ["category_code", "region"], "left").select(
+        "category_code",
+        shown.alias("category_name"),
+        "region",
+        F.coalesce("job_count", F.lit(0)).cast("long").alias("job_count"),
+        F.lit(SALARY_UNITS.get(salary_type, "")).alias("unit"),
+        *[or_default(F.col(c), NO_DATA).alias(c) for c in EXPERIENCE_COLUMNS],
+    )
+
+
 def modal_value(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Row count and most frequent value per group, the smallest one on a tie.
 
@@ -263,8 +376,17 @@ def modal_value(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def modal_salary_map(cards: DataFrame, salary_type: str) -> DataFrame:
-    """Earlier salary map: count and usual salary text per area and coarse experience."""
+def modal_salary_map(
+    cards: DataFrame,
+    salary_type: str,
+    bridge: DataFrame | None = None,
+    category_codes: Sequence[str] = (),
+) -> DataFrame:
+    """Earlier salary map: count and usual salary text per area and coarse experience, of all
+    cards or, with ``category_codes``, of those that ``bridge`` puts into one of them."""
+    if category_codes and bridge is not None:
+        wanted = bridge.where(F.col("category_code").cast("string").isin(list(category_codes)))
+        cards = cards.join(wanted.select("job_id"), "job_id", "left_semi")
     rows = cards.where(F.col("salary_type_code").cast("string") == salary_type).select(
         area_name(F.col("region_group")).alias("area"),
         coarse_exp_bucket(F.col("exp_edu_text")).alias("exp"),
@@ -342,6 +464,27 @@ def job_search(found: DataFrame, page: int = 1, per_page: int = PAGE_SIZE) -> Da
     return card_view(page_of(found, [F.col("job_id").desc()], page, per_page))
 
 
+def job_search_after(
+    found: DataFrame, last_id: object | None = None, per_page: int = PAGE_SIZE
+) -> DataFrame:
+    """The page after the card ``last_id``, newest id first; the first page without it. No
+    earlier page is read or held, however deep the page is."""
+    rest = found if last_id is None else found.where(F.col("job_id") < F.lit(last_id))
+    return card_view(rest.orderBy(F.col("job_id").desc()).limit(per_page))
+
+
+def store_search(found: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> None:
+    """Store the found cards in their order, for pages of any depth."""
+    store_pages(card_view(found), [F.col("job_id").desc()], path, block_rows)
+
+
+def job_search_page(
+    spark: SparkSession, path: str, page: int = 1, per_page: int = PAGE_SIZE
+) -> DataFrame:
+    """One page of a stored search."""
+    return read_page(spark, path, page, per_page).drop("row_no")
+
+
 def job_count(found: DataFrame, per_page: int = PAGE_SIZE) -> DataFrame:
     return page_total(found, "job_id", per_page)
 
