@@ -5,8 +5,9 @@
    every phrase that was not proposed though its parts were (for words: every word).
 3. A border phrase that turns out frequent is a failure: longer phrases around it were not
    counted. It joins the proposed ones, and a further pass counts the phrases whose parts are
-   proposed now and were not before. This ends when a pass finds no new failure, so the result
-   does not depend on the sample.
+   proposed now and were not before. Such a pass takes each phrase that it counts as a part, as
+   if it were frequent, so that longer phrases around it are counted with it. This ends when a
+   pass leaves no failure, so the result does not depend on the sample.
 
 Counts are taken for the batches of each task and added up by Spark. Which phrases are proposed
 is told by bit tables of a fixed size; a phrase that shares its bit with a proposed one is
@@ -20,7 +21,6 @@ text is bound by a task's memory, as one cell of its batch is.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -40,8 +40,9 @@ BITS = 33_554_393
 FIRST, LAST = 1_000_003, 7_919
 #: One document in so many is in the sample.
 SAMPLE = 4
+#: About so many bytes of text are counted together.
+BATCH_BYTES = 6 << 20
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
-_WORDS = re.compile(rb"[^ \n]+|\n").findall
 _COUNTS = "lang string, size int, phrase string, a long"
 
 
@@ -53,28 +54,41 @@ def _counted(
     longest: int,
     now: dict[int, np.ndarray] | None,
     before: dict[int, np.ndarray] | None,
+    batch_bytes: int,
     batches: Iterator[pa.RecordBatch],
 ) -> Iterator[pa.RecordBatch]:
-    """Counts in each batch of the phrases whose two parts are marked in ``now`` but not both
-    in ``before``; all phrases without ``now``, and without ``before`` also single words and, as
-    size 0, the number of words."""
+    """Counts of the phrases whose two parts are marked in ``now`` but not both in ``before``;
+    all phrases without ``now``, and without ``before`` also single words and, as size 0, the
+    number of words. With ``before`` a phrase that is counted here passes for marked."""
+    texts, held = defaultdict(list), 0
     for batch in batches:
-        texts = defaultdict(list)
         langs = batch.column(0).to_pylist()
         for lang, text in zip(langs, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             texts[lang].append((text or b"").lower().translate(_ENDS))
-        for lang, some in texts.items():
-            yield from _phrases(lang, _WORDS(b"\n".join(some)), longest, now, before)
+            held += len(texts[lang][-1])
+            if held > batch_bytes:
+                for name, some in texts.items():
+                    yield from _phrases(name, _words(some), longest, now, before)
+                texts, held = defaultdict(list), 0
+    for name, some in texts.items():
+        yield from _phrases(name, _words(some), longest, now, before)
+
+
+def _words(texts: list[bytes]) -> pa.Array:
+    """All words, with a line feed where a piece or a text ends; empty words lie between."""
+    whole = b" \n ".join(texts).replace(b"\n", b" \n ")
+    return pc.split_pattern(pa.array([whole], pa.large_binary()), b" ").flatten()
 
 
 def _phrases(lang, found, longest, now, before):
-    coded = pa.array(found, pa.binary()).dictionary_encode()
-    words = coded.dictionary
+    coded = found.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary())
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     plain = words.to_pylist()
+    code = code[np.array([w != b"" for w in plain], bool)[code]]
     seed = zlib.crc32(lang.encode() + b"\n")
     crc = np.array([zlib.crc32(w, seed) for w in plain], np.int64)
-    inside = np.array([w != b"\n" for w in plain], bool)
+    inside = np.array([w not in (b"\n", b"") for w in plain], bool)
     if not inside.any():
         return
     text = words.cast(pa.string())
@@ -83,7 +97,7 @@ def _phrases(lang, found, longest, now, before):
         counts = np.bincount(code, minlength=len(plain))[inside]
         yield _rows(lang, 1, text.filter(pa.array(inside)), counts)
         yield _rows(lang, 0, pa.array([""]), np.array([valid.sum()]))
-    bit, key = crc[code] % BITS, code
+    bit, key, assumed = crc[code] % BITS, code, None
     for size in range(2, longest + 1):
         # bit, key and valid speak of the phrase of size - 1 words that starts at each place
         if len(key) < 2:
@@ -93,6 +107,8 @@ def _phrases(lang, found, longest, now, before):
         asked = starts
         if now is not None:
             part = _marked(now[size - 1], bit)
+            if assumed is not None:
+                part = part | assumed
             asked = asked & part[:-1] & part[1:]
         if before is not None:
             part = _marked(before[size - 1], bit)
@@ -105,6 +121,7 @@ def _phrases(lang, found, longest, now, before):
             parts = [text.take(pa.array(code[at + k])) for k in range(size)]
             yield _rows(lang, size, pc.binary_join_element_wise(*parts, " "), counts)
         if size < longest:
+            assumed = None if before is None else asked
             bit = (bit[:-1] * FIRST + crc[ends] * LAST) % BITS
             # phrases of this size as numbers again, small enough for another factor
             key, valid = np.unique(both, return_inverse=True)[1], starts
@@ -139,19 +156,19 @@ def _bit() -> Column:
 
 def _tables(proposed: DataFrame, longest: int, old: dict[int, np.ndarray] | None):
     """Bit tables of the proposed phrases of each size below ``longest``, added to ``old``. The
-    driver gets at most ``BITS / 8`` bytes for each size, however many phrases there are."""
+    driver gets at most ``BITS / 64`` rows for each size, however many phrases there are."""
     bits = proposed.where(F.col("size").between(1, longest - 1)).select("size", _bit().alias("bit"))
-    cells = bits.groupBy("size", F.shiftright("bit", 3).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1, CAST(bit & 7 AS INT))")).alias("marks")
+    cells = bits.groupBy("size", F.shiftright("bit", 6).alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("marks")
     )
     found = cells.toArrow()
     size, cell, marks = (found.column(c).to_numpy() for c in ("size", "cell", "marks"))
     tables = {}
     for k in range(1, longest):
-        table = np.zeros(BITS // 8 + 1, np.uint8) if old is None else old[k].copy()
+        table = np.zeros(BITS // 64 + 1, "<i8") if old is None else old[k].view("<i8").copy()
         here = size == k
-        table[cell[here]] |= marks[here].astype(np.uint8)
-        tables[k] = table
+        table[cell[here]] |= marks[here]
+        tables[k] = table.view(np.uint8)
     return tables
 
 
@@ -162,6 +179,7 @@ def frequent_phrases(
     text: str = "text",
     lang: str = "lang",
     sample: int = SAMPLE,
+    batch_bytes: int = BATCH_BYTES,
 ) -> tuple[DataFrame, int]:
     """``(lang, size, phrase, a)`` of every phrase of up to ``longest`` words that occurs ``least``
     times or more in its language, and of size 0 the number of words; and the passes taken."""
@@ -173,7 +191,7 @@ def frequent_phrases(
     )
 
     def counted(rows: DataFrame, size: int, bound: int, now=None, before=None) -> DataFrame:
-        parts = rows.mapInArrow(lambda b: _counted(size, now, before, b), _COUNTS)
+        parts = rows.mapInArrow(lambda b: _counted(size, now, before, batch_bytes, b), _COUNTS)
         summed = parts.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
         enough = (F.col("a") >= bound) | (F.col("size") == 0)
         return materialize(summed.where(enough), "phrases")
@@ -186,7 +204,9 @@ def frequent_phrases(
         found.append(counted(rows, longest, least, now, before))
         # failures: frequent phrases of this pass that were not proposed
         wider = _tables(found[-1], longest, now)
-        if all((wider[k] == now[k]).all() for k in wider):
+        closed = all((wider[k] == now[k]).all() for k in wider)
+        if closed or before is not None:
+            # an expansion pass has counted around all that it found, see step 3
             return reduce(DataFrame.unionByName, found), len(found)
         before, now = now, wider
 
