@@ -183,7 +183,7 @@ def _bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
-def _split(path: str, batches: Iterator[pa.RecordBatch]):
+def _split(path: str, most_words: int, batches: Iterator[pa.RecordBatch]):
     """One row per batch: its other columns, how many words each row has, all words as numbers
     of distinct words, ids of the words that are new in this task if they are tokens (else -1),
     and the bytes of those that are not. ``fresh`` tells that numbering starts anew."""
@@ -192,7 +192,7 @@ def _split(path: str, batches: Iterator[pa.RecordBatch]):
         lists = batch.column(batch.num_columns - 1)
         coded = lists.flatten().cast(pa.binary()).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        fresh = len(number) + len(words) > MOST_WORDS
+        fresh = len(number) + len(words) > most_words
         if fresh:
             number = {}
         new = [w for w in words if w not in number]
@@ -344,12 +344,14 @@ def encode(
     text: str = "text",
     name: str = "ids",
     decoded: str | None = None,
+    most_words: int = MOST_WORDS,
 ) -> DataFrame:
     """The rows of ``docs`` without ``text``, with ``name``: the ids of the whole text as
     little-endian unsigned 32-bit numbers (binary). A column ``name`` of ``docs`` is replaced.
 
     ``decoded`` names a further column with the bytes that :func:`decode` makes of the ids, for
-    round trips; they are taken from the ids in the same Python task.
+    round trips; they are taken from the ids in the same Python task. A task remembers
+    ``most_words`` distinct words; fewer cost time, not results.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -361,7 +363,7 @@ def encode(
     )
     fields = plain.schema.fields[:-1]
     batches = plain.mapInArrow(
-        lambda b: _split(path, b),
+        lambda b: _split(path, most_words, b),
         "kept binary, sizes binary, numbers binary, known binary, fresh boolean,"
         " words array<array<tinyint>>",
     )
