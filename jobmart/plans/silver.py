@@ -216,9 +216,10 @@ def merge_references(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def match_condition(
     bronze: DataFrame, names: DataFrame, field: str, as_of: dt.date | None = None
 ) -> DataFrame:
-    """Distinct (job_id, code, name) of reference names listed or mentioned in a posting."""
+    """Distinct (job_id, code, name) of reference names listed or mentioned in a posting.
+    Documents without ``condition`` are left out, with their description."""
     listed = F.transform(_condition_array(bronze, field), lambda x: x["description"])
-    docs = active_documents(bronze, as_of).select(
+    docs = active_documents(bronze, as_of).where("condition IS NOT NULL").select(
         *DOC_KEY,
         _job_id().alias("job_id"),
         listed.alias("listed"),
