@@ -1,7 +1,7 @@
 """Exact top-k search by BM25 over an inverted index in shards.
 
 The index is built where the texts are read, one row per shard of at most ``SHARD_DOCS``
-documents: terms in order, their postings, document lengths. Documents of a shard are laid out
+documents and ``SHARD_PAIRS`` distinct words of documents: terms in order, their postings, document lengths. Documents of a shard are laid out
 by their most frequent term, which puts those of one language side by side, and by length, so
 that the maxima of blocks of ``BLOCK`` documents are tight.
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,12 @@ from jobmart.llm.near_dedup import mixed
 
 K1, B = 1.2, 0.75
 SHARD_DOCS = 16_384
+#: A shard also ends before its (document, term) pairs pass this number; one document alone may.
+SHARD_PAIRS = 3_000_000
+#: Bytes of text whose words are counted at once.
+PIECE = 1 << 20
 BLOCK = 64
-QUERY_BLOCK = 8_192
+QUERY_BLOCK = 2_048
 BATCH = 64
 #: Scores are compared after rounding, so that the order of additions decides nothing.
 DIGITS = 6
@@ -78,31 +83,52 @@ def term_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(names)
 
 
-def index_row(shard: int, doc_ids: np.ndarray, owner: np.ndarray, names: np.ndarray) -> dict:
-    """One shard's index from the words of its documents."""
+def counted_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, term name and count of every distinct word of every text, by text."""
+    owner, names = term_names(texts)
+    order = np.lexsort((names, owner))
+    owner, names = owner[order], names[order]
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (names[1:] != names[:-1])
+    at = np.flatnonzero(fresh)
+    counts = np.diff(np.append(at, len(owner)))
+    return owner[at].astype(np.uint16), names[at], counts.astype(np.uint32)
+
+
+def index_row(
+    shard: int, doc_ids: np.ndarray, doc: np.ndarray, names: np.ndarray, counts: np.ndarray
+) -> dict:
+    """One shard's index from the distinct (document, term) pairs of its documents."""
     n = len(doc_ids)
-    lengths = np.bincount(owner, minlength=n)
-    terms, term = np.unique(names, return_inverse=True)
-    pair = term.astype(np.int64) * n + owner
-    pair, counts = np.unique(pair, return_counts=True)
-    term, doc = pair // max(n, 1), pair % max(n, 1)
+    lengths = np.bincount(doc, counts, minlength=n).astype(np.int64)
+    # Number the terms in place of their names, sorted pair by pair, with 32 bits.
+    order = np.argsort(names)
+    names = names[order]
+    fresh = np.ones(len(names), bool)
+    fresh[1:] = names[1:] != names[:-1]
+    terms = names[fresh]
+    del names
+    term = (np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)).astype(np.uint32)
+    doc, counts = doc[order], counts[order]
+    del order, fresh
     # Lay documents out by the most frequent of their terms, then by length.
     often = np.bincount(term, minlength=len(terms))
-    rank = np.empty(len(terms), np.int64)
-    rank[np.argsort(-often, kind="stable")] = np.arange(len(terms))
-    best = np.full(n, len(terms), np.int64)
+    rank = np.empty(len(terms), np.uint32)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(terms), dtype=np.uint32)
+    best = np.full(n, len(terms), np.uint32)
     np.minimum.at(best, doc, rank[term])
-    order = np.lexsort((lengths, best))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    again = np.lexsort((place[doc], term))
-    starts = np.searchsorted(term[again], np.arange(len(terms) + 1))
+    by = np.lexsort((lengths, best))
+    place = np.empty(n, np.uint16)
+    place[by] = np.arange(n, dtype=np.uint16)
+    key = term.astype(np.uint64) << np.uint64(16) | place[doc]
+    again = np.argsort(key)
+    starts = np.concatenate([[0], np.cumsum(often)])
     return {
         "shard": shard, "n_docs": n, "n_words": int(lengths.sum()),
-        "doc_ids": doc_ids[order].astype("<i8").tobytes(),
-        "lengths": lengths[order].astype("<u4").tobytes(),
+        "doc_ids": doc_ids[by].astype("<i8").tobytes(),
+        "lengths": lengths[by].astype("<u4").tobytes(),
         "terms": terms.astype("<u8").tobytes(), "starts": starts.astype("<u4").tobytes(),
-        "postings": place[doc][again].astype("<u2").tobytes(),
+        "postings": (key[again] & np.uint64(0xFFFF)).astype("<u2").tobytes(),
         "counts": counts[again].astype("<u4").tobytes(),
     }
 
@@ -124,26 +150,34 @@ def build_index(docs: DataFrame) -> DataFrame:
             [("shard", pa.int64()), ("n_docs", pa.int32()), ("n_words", pa.int64())]
             + [(x.split()[0], pa.binary()) for x in INDEX.split(",")[3:]]
         )
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n = words = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        n = pairs = 0
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate([x[0] for x in held])
             shift = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-            owner = np.concatenate([x[1] + s for x, s in zip(held, shift, strict=True)])
-            row = index_row(shard, ids, owner, np.concatenate([x[2] for x in held]))
-            return pa.RecordBatch.from_pylist([row], schema)
+            doc = np.concatenate([x[1] + np.uint16(s) for x, s in zip(held, shift, strict=True)])
+            names = np.concatenate([x[2] for x in held])
+            counts = np.concatenate([x[3] for x in held])
+            held.clear()
+            return pa.RecordBatch.from_pylist([index_row(shard, ids, doc, names, counts)], schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                owner, names = term_names(part.column(1).to_pylist())
-                held.append((part.column(0).to_numpy(), owner, names))
-                n, words = n + part.num_rows, words + len(names)
-                if n + 1024 > SHARD_DOCS or words > 600 * SHARD_DOCS:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                # a piece is at most PIECE bytes of text, or one text that alone is longer
+                most = (sizes[at - 1] if at else 0) + PIECE
+                until = max(at + 1, int(np.searchsorted(sizes, most, "right")))
+                doc, names, counts = counted_pairs(texts.slice(at, until - at).to_pylist())
+                full = n + (until - at) > SHARD_DOCS or pairs + len(doc) > SHARD_PAIRS
+                if held and full:
                     yield flush()
-                    held, n, words, shard = [], 0, 0, shard + 1
-        if n:
+                    n, pairs, shard = 0, 0, shard + 1
+                held.append((ids[at:until], doc, names, counts))
+                n, pairs, at = n + (until - at), pairs + len(doc), until
+        if held:
             yield flush()
 
     return rows.mapInArrow(run, INDEX)
@@ -182,7 +216,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
                 names=["query_id", "term", "times"],
             )
 
-    rows = queries.select(
+    rows = queries.where(F.col("query_id").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
@@ -221,6 +255,10 @@ class Shard:
         self.top = np.maximum.reduceat(weight, at) if len(at) else weight
         self.top_block = block[at]
         self.top_starts = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
+        # Where the postings of each of these (term, block) entries start.
+        self.entry_starts = np.append(at, len(docs))
+        #: Postings of sparse terms that queries have, and how many of them were read.
+        self.postings = self.postings_read = 0
 
     @staticmethod
     def _ranges(starts: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +271,8 @@ class Shard:
         """(query, doc_ids, scores) of the best k of this shard for (query, terms, weights)."""
         size = self.blocks * BLOCK
         common = np.zeros((len(queries), len(self.dense)))
-        sparse = np.zeros((len(queries), size))
         bound = np.zeros((len(queries), self.blocks))
+        entries = []
         for i, (_, terms, weights) in enumerate(queries):
             t = np.searchsorted(self.terms, terms)
             known = t < len(self.terms)
@@ -245,25 +283,42 @@ class Shard:
             t, w = t[row < 0], w[row < 0]
             at, which = self._ranges(self.top_starts, t)
             bound[i] = np.bincount(self.top_block[at], self.top[at] * w[which], self.blocks)
-            at, which = self._ranges(self.starts, t)
-            sparse[i] = np.bincount(self.docs[at], self.weight[at] * w[which], size)
+            entries.append((at, w[which]))
+            self.postings += int((self.starts[t + 1] - self.starts[t]).sum())
         bound += common @ self.dense_max
-        scores = np.full((len(queries), size), -1.0)
-        done = np.zeros(self.blocks, bool)
+        scores = np.full((len(queries), self.blocks, BLOCK), -1.0)
 
-        def score(blocks: np.ndarray) -> None:
+        def score(wanted: np.ndarray) -> None:
+            """Score every block for the queries that want it, and for no other."""
+            blocks = np.flatnonzero(wanted.any(axis=0))
             places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores[:, places] = common @ self.dense[:, places] + sparse[:, places]
-            done[blocks] = True
+            found = (common @ self.dense[:, places]).reshape(len(queries), len(blocks), BLOCK)
+            column = np.zeros(self.blocks, np.int64)
+            column[blocks] = np.arange(len(blocks))
+            for i, (at, w) in enumerate(entries):
+                mine = wanted[i, self.top_block[at]]
+                at, w = at[mine], w[mine]
+                some, which = self._ranges(self.entry_starts, at)
+                self.postings_read += len(some)
+                docs = self.docs[some]
+                into = column[docs // BLOCK] * BLOCK + docs % BLOCK
+                found[i] += np.bincount(
+                    into, self.weight[some] * w[which], len(places)
+                ).reshape(len(blocks), BLOCK)
+                scores[i, blocks[wanted[i, blocks]]] = found[i, wanted[i, blocks]]
 
         first = min(self.blocks, max(2, -(-2 * k // BLOCK)))
-        score(np.unique(np.argpartition(-bound, first - 1, axis=1)[:, :first]))
+        done = np.zeros(bound.shape, bool)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        np.put_along_axis(done, best, True, axis=1)
+        score(done)
         k = min(k, size)
-        kth = np.partition(scores, size - k, axis=1)[:, size - k]
-        needed = (bound + 10.0**-DIGITS >= kth[:, None]).any(axis=0)
-        rest = np.flatnonzero(needed & ~done)
-        if len(rest):
-            score(rest)
+        flat = scores.reshape(len(queries), size)
+        kth = np.partition(flat, size - k, axis=1)[:, size - k]
+        needed = (bound + 10.0**-DIGITS >= kth[:, None]) & (bound > 0) & ~done
+        if needed.any():
+            score(needed)
+        scores = flat
         scores = np.round(scores[:, : self.n], DIGITS)
         k = min(k, self.n)
         kth = np.partition(scores, self.n - k, axis=1)[:, self.n - k]
@@ -276,7 +331,7 @@ class Shard:
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score of the best ``k`` documents of every query, ties by doc_id.
 
-    ``queries`` has query_id and text. A query without a word that occurs gives no row, nor
+    ``queries`` has query_id and text; rows without a query_id cannot be named and give none. A query without a word that occurs gives no row, nor
     does a document that shares no word with it. Repeated doc_ids are results of their own. An
     empty index gives no rows.
     """
@@ -286,8 +341,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     mean_length = words / max(n, 1)
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = query_terms(queries).join(frequencies(index), "term")
-    vectors = weighted.groupBy("query_id").agg(
-        F.collect_list(F.struct("term", (idf * F.col("times")).alias("w"))).alias("terms")
+    pairs = F.collect_list(F.struct("term", (idf * F.col("times")).alias("w")))
+    vectors = weighted.groupBy("query_id").agg(pairs.alias("pairs"))
+    vectors = vectors.select(
+        "query_id", F.col("pairs.term").alias("terms"), F.col("pairs.w").alias("weights")
     )
     vectors = materialize(vectors, "query-vectors")
     # Query blocks of a bounded size; each meets every shard once.
@@ -303,10 +360,11 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for row in left.to_dict("records"):
             shard = Shard(row, mean_length)
             found = []
-            for query_id, terms in zip(right["query_id"], right["terms"], strict=True):
-                names = np.array([t["term"] for t in terms], np.int64).view(np.uint64)
+            columns = (right["query_id"], right["terms"], right["weights"])
+            for query_id, terms, weights in zip(*columns, strict=True):
+                names = np.asarray(terms, np.int64).view(np.uint64)
                 order = np.argsort(names)
-                found.append((query_id, names[order], np.array([t["w"] for t in terms])[order]))
+                found.append((query_id, names[order], np.asarray(weights)[order]))
             # Queries that prune alike, those with the same common words, go together.
             found.sort(key=lambda q: (*_commonest(shard, q[1]), q[0]))
             for at in range(0, len(found), BATCH):
