@@ -9,7 +9,7 @@ A shard and a bounded block of queries meet in one task. As in block-max WAND, t
 query's terms of their greatest weight in a block bounds every score of the block. The blocks
 with the highest bounds are scored first; then only blocks whose bound reaches the k-th best
 score so far are scored, so nothing that belongs to the top k is skipped. Terms that occur in
-over an eighth of a shard are held as dense rows and scored for a batch of queries at once.
+over a quarter of a shard are held as dense rows and scored for a batch of queries at once.
 Collection size, mean length and document frequencies are those of all shards, which makes
 scores comparable, and the shards' best are merged into the exact overall best.
 """
@@ -37,6 +37,8 @@ PIECE = 1 << 20
 BLOCK = 64
 QUERY_BLOCK = 8_192
 BATCH = 64
+#: Documents whose dense weights are copied out at once.
+COLUMNS = 2_048
 #: Scores are compared after rounding, so that the order of additions decides nothing.
 DIGITS = 6
 INDEX = (
@@ -239,7 +241,7 @@ class Shard:
         weight += times
         np.divide(times * (K1 + 1), weight, out=weight)
         self.blocks = (n + BLOCK - 1) // BLOCK
-        many = np.flatnonzero(np.diff(starts) * 8 > n)
+        many = np.flatnonzero(np.diff(starts) * 4 > n)
         self.row_of = np.full(len(self.terms) + 1, -1, np.int64)
         self.row_of[many] = np.arange(len(many))
         self.dense = np.zeros((len(many), self.blocks * BLOCK))
@@ -295,7 +297,11 @@ class Shard:
             """Score every block for the queries that want it, and for no other."""
             blocks = np.flatnonzero(wanted.any(axis=0))
             places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = (common @ self.dense[:, places]).reshape(len(queries), len(blocks), BLOCK)
+            found = np.empty((len(queries), len(places)))
+            for at in range(0, len(places), COLUMNS):
+                some = places[at : at + COLUMNS]
+                found[:, at : at + COLUMNS] = common @ self.dense[:, some]
+            found = found.reshape(len(queries), len(blocks), BLOCK)
             column = np.zeros(self.blocks, np.int64)
             column[blocks] = np.arange(len(blocks))
             for i, (at, w) in enumerate(entries):
