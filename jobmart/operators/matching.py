@@ -4,11 +4,12 @@ A name counts as found when it occurs in a text, ignoring case, with no ASCII le
 directly before or after it, or when it is listed among the structured names of the row.
 
 Trying every name on every text would cost texts x names. Instead each name is filed under
-one anchor: its longest run of ASCII letters and digits. By the boundary rule such a run
-can only occur in a text as a whole word, so an equi join of the distinct words of a text with
-the anchors yields every candidate. Names that are a single word need no further check; the
-others are verified with the exact pattern. Names without any letter or digit are filed under
-their first two characters instead.
+one anchor: of its runs of ASCII letters and digits the one that the fewest texts hold. By the
+boundary rule such a run can only occur in a text as a whole word, so an equi join of the
+distinct words of a text with the anchors yields every candidate, and a word that many names
+share is joined only for names that have no rarer one. Names that are a single word need no
+further check; the others are verified with the exact pattern. Names without any letter or
+digit are filed under their first two characters instead.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmart.functions.text import contains_word_pattern, fold
+from jobmart.shared import materialize
 
 _WORD = "[a-z0-9]+"
 _SYMBOL_PAIR = "(?s)(?=([^a-z0-9]{2}))"
@@ -36,22 +38,38 @@ def reference_list(items: DataFrame, code: str, name: str, newest: Sequence[Colu
     return chosen.withColumn("pattern", contains_word_pattern(F.col("name")))
 
 
-def _anchored(names: DataFrame) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+
+def _choices(names: DataFrame) -> DataFrame:
+    """The names with all words that may be their anchor, and whether they need a check."""
     folded = fold(F.col("name"))
-    words = F.regexp_extract_all(folded, F.lit(_WORD), F.lit(0))
-    longest = F.array_max(
-        F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    )["w"]
+    words = F.array_distinct(_words(folded))
+    first = F.array(F.substring(folded, 1, 2))
     return names.select(
         "code",
         "name",
-        F.coalesce(longest, F.substring(folded, 1, 2)).alias("anchor"),
+        F.explode(F.when(F.size(words) > 0, words).otherwise(first)).alias("anchor"),
         (~folded.rlike(f"^{_WORD}$")).alias("verify"),
     )
 
 
+def rarest_anchors(choices: DataFrame, held: DataFrame) -> DataFrame:
+    """One row per name of ``choices``: of its anchors the one with the fewest rows in ``held``,
+    then the longest, then the first by text order."""
+    counted = held.groupBy("anchor").agg(F.count("*").alias("df"))
+    rank = F.struct(F.coalesce("df", F.lit(0)), -F.length("anchor"), "anchor")
+    return (
+        choices.join(counted, "anchor", "left")
+        .groupBy("code", "name", "verify")
+        .agg(F.min(rank).alias("_rarest"))
+        .select("code", "name", F.col("_rarest.anchor").alias("anchor"), "verify")
+    )
+
+
 def _anchors_of(text: Column, symbol_names: bool) -> Column:
-    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    found = _words(text)
     if symbol_names:
         pairs = F.regexp_extract_all(text, F.lit(_SYMBOL_PAIR), F.lit(1))
         singles = F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(0))
@@ -71,27 +89,38 @@ def match_terms(
 
     ``names`` comes from :func:`reference_list`. ``listed`` names an array column with the
     structured names of a row. ``symbol_names=False`` skips the work that only names without
-    any letter or digit need.
+    any letter or digit need. A NULL text holds no name; a NULL in the key is kept as it is. The
+    words of the texts that names have are stored in the shared folder when this is called.
     """
     columns = [F.col(c) for c in text_cols]
     texts = columns[0] if len(columns) == 1 else F.concat_ws("\n", *columns)
-    anchors = docs.select(
+    choices = _choices(names)
+    # Texts are cut into words here only. Of their words those that names have are stored; both
+    # the counts and the candidates come from this table.
+    held = docs.select(
         *doc_key, F.explode(_anchors_of(fold(texts), symbol_names)).alias("anchor")
-    )
+    ).join(choices.select("anchor").distinct(), "anchor", "left_semi")
+    held = materialize(held, "words-of-names")
+    filed = rarest_anchors(choices, held)
     # Candidates are gathered per row (at most one per name). Both uses below read the same
     # shuffle, so a text is split into words once and folded once, however many names it holds.
     candidate = F.struct("code", "name", "verify")
     hits = (
-        anchors.join(_anchored(names), "anchor")
+        held.join(filed, "anchor")
         .groupBy(*doc_key)
         .agg(F.collect_list(candidate).alias("_names"))
     )
     sure = hits.select(
         *doc_key, F.explode(F.filter("_names", lambda n: ~n["verify"])).alias("_name")
     )
-    unsure = hits.select(*doc_key, F.filter("_names", lambda n: n["verify"]).alias("_names"))
+    other_key = [f"_{c}" for c in doc_key]
+    unsure = hits.select(
+        *[F.col(c).alias(o) for c, o in zip(doc_key, other_key, strict=True)],
+        F.filter("_names", lambda n: n["verify"]).alias("_names"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(doc_key, other_key, strict=True)]
     folded = docs.select(*doc_key, *text_cols, fold(texts).alias("_folded"))
-    tried = folded.join(unsure.where(F.size("_names") > 0), list(doc_key)).select(
+    tried = folded.join(unsure.where(F.size("_names") > 0), same).select(
         *doc_key, *text_cols, "_folded", F.explode("_names").alias("_name")
     )
     # a plain substring test goes before the exact pattern

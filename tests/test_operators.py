@@ -247,6 +247,28 @@ def test_match_terms_random_texts_two_columns(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_names_that_share_a_word_are_filed_under_their_rare_words(spark):
+    docs = spark.createDataFrame(
+        [(i, f"our expertise {i % 50} is wide") for i in range(200)] + [(None, "expertise 7, yes")],
+        "i int, t string",
+    )
+    items = spark.createDataFrame(
+        [(f"c{i}", f"Expertise {i}") for i in range(60)] + [("e", "Expertise"), ("s", "++")],
+        "code_in string, name_in string",
+    )
+    names = matching.reference_list(items, "code_in", "name_in", [F.col("code_in")])
+    held = docs.select(F.explode(F.split(F.lower("t"), "[^a-z0-9]+")).alias("anchor"))
+    anchors = matching.rarest_anchors(matching._choices(names), held).collect()
+    filed = {r["name"]: r["anchor"] for r in anchors}
+    assert filed == {"Expertise": "expertise", "++": "++"} | {
+        f"Expertise {i}": str(i) for i in range(60)
+    }
+    got = {tuple(r) for r in matching.match_terms(docs, names, ["i"], ["t"]).collect()}
+    want = {(i, f"c{i % 50}", f"Expertise {i % 50}") for i in range(200)}
+    want |= {(None, "c7", "Expertise 7"), (None, "e", "Expertise")}
+    assert got == want | {(i, "e", "Expertise") for i in range(200)}
+
+
 def test_match_terms_listed_names_are_exact(spark):
     docs = spark.createDataFrame([(1, "", ["Go", "rust"])], "i int, t string, l array<string>")
     items = spark.createDataFrame([("g", "Go"), ("r", "Rust")], "c string, n string")
