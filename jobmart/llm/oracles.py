@@ -144,3 +144,24 @@ COLLOCATIONS = f"""WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(s
  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
  CAST(score AS BIGINT) AS score
  FROM placed p JOIN total t ON t.lang = p.lang WHERE place <= 2000"""
+
+
+#: Every document scored for every query, by the definition.
+BM25 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+ size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+ tf AS (SELECT r, term, count(*) AS f FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+ idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)::DOUBLE) AS idf
+  FROM tf, size GROUP BY term),
+ q AS (SELECT doc_id AS query_id, term, sum(f) AS times FROM tf JOIN d USING (r)
+  WHERE doc_id % 50 = 0 GROUP BY ALL),
+ scored AS (SELECT query_id, r, round(sum(times * idf * f * 2.2::DOUBLE
+  / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / mean))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN d USING (r), size GROUP BY query_id, r),
+ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, doc_id) AS "rank", doc_id, score FROM scored JOIN d USING (r)
+  WHERE score > 0)
+SELECT query_id, CAST("rank" AS INTEGER) AS "rank", doc_id, score FROM ranked WHERE "rank" <= 10
+"""

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_bm25_search")
+@query("op1_bm25_search", oracles.BM25)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     shards = max(1, -(-docs.count() // bm25.SHARD_DOCS))
