@@ -102,8 +102,8 @@ def match_terms(
     ).join(choices.select("anchor").distinct(), "anchor", "left_semi")
     held = materialize(held, "words-of-names")
     filed = rarest_anchors(choices, held)
-    # Candidates are gathered per row (at most one per name). Both uses below read the same
-    # shuffle, so a text is split into words once and folded once, however many names it holds.
+    # Candidates are gathered per row (at most one per name), and both uses below read the same
+    # shuffle, so a text is folded once more for the check, however many names it holds.
     candidate = F.struct("code", "name", "verify")
     hits = (
         held.join(filed, "anchor")
