@@ -6,7 +6,14 @@ unlabelled document takes part in every step and a step reads only the distinct
 classifier is linear in the bits and minimises the non-negative unbiased risk
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with logistic loss
 and a small quadratic penalty. While the part under the maximum is positive the risk is convex
-and Newton steps are taken; where it turns negative, the step goes up that part's gradient.
+and Newton steps are taken; where it turns negative, the step goes up that part's gradient, as
+far as it takes to bring the part back to 0. Steps that do not lower the non-negative risk are
+taken back and shortened, and the weights of the lowest risk are the result.
+
+The class prior is estimated from positives and unlabelled texts alone. A text set that leaves
+negatives out holds ``prior`` times the share of unlabelled texts that it holds of positives, and
+no set holds less. The sets tried are the texts above a bound of a score that tells positives
+from unlabelled texts, learned on one half of the patterns and counted on the other, both ways.
 """
 
 from __future__ import annotations
@@ -24,8 +31,13 @@ from jobmart.llm.quality_rules import measure
 RATIO_CUTS = (0.002, 0.02, 0.1, 0.3, 0.6)
 LENGTH_CUTS = (1, 5, 10, 20, 50, 200, 1000)
 WORD_CUTS = (2, 3, 4, 5, 6, 8, 12, 30)
-STEPS, PENALTY = 10, 2e-4
-#: Shares of positives outside these bounds cannot be told from all or none.
+STEPS, PENALTY = 40, 2e-4
+#: A step is shortened by halves to this part before the search ends.
+SHORTEST = 1 / 64
+#: Score ranges whose upper ends are tried for the class prior, and the chance that the
+#: estimate's margin is passed.
+SCORE_RANGES, DOUBT = 1000, 0.1
+#: Class priors outside these bounds cannot be told from all or none.
 PRIOR_BOUNDS = (0.02, 0.98)
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
@@ -91,75 +103,163 @@ def log1pexp(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def _sums(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Sums over the counted rows: per row of ``KINDS`` the loss, its gradient and Hessian."""
+def _sums(rows: DataFrame, weights: np.ndarray) -> dict[str, np.ndarray | float]:
+    """Means over the counted rows (x, unlabelled, positive), for unlabelled texts (``u``) and
+    positives (``p``): the loss as negatives, its gradient and Hessian, the loss of positives as
+    positives and the mean of their bits."""
     upper = np.triu_indices(WIDTH)
-    size = 2 + 2 * WIDTH + 2 + len(upper[0])
+    per_class = 2 + 2 * WIDTH + 1 + len(upper[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = np.zeros(2 * per_class)
         for batch in batches:
             x = unpacked(batch.column(0))
-            unlabelled, positive = (
-                batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2)
-            )
             z = x @ weights
             up = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            total[0] += (positive * log1pexp(-z)).sum()  # positives as positives
-            total[1] += (positive * log1pexp(z)).sum()  # positives as negatives
-            total[2] += (unlabelled * log1pexp(z)).sum()
-            total[3] += positive.sum()
-            g = 4 + WIDTH
-            total[4:g] += (positive[:, None] * x).sum(axis=0)
-            total[g : g + WIDTH] += ((unlabelled * up)[:, None] * x).sum(axis=0)
-            h = (x * (unlabelled * up * (1 - up))[:, None]).T @ x
-            total[g + WIDTH :] += h[upper]
+            for kind in (0, 1):
+                count = batch.column(kind + 1).to_numpy(zero_copy_only=False).astype(float)
+                some = count > 0
+                if not some.any():
+                    continue
+                xs, n, zs, us = x[some], count[some], z[some], up[some]
+                h = (xs * (n * us * (1 - us))[:, None]).T @ xs
+                total[kind * per_class : (kind + 1) * per_class] += np.concatenate(
+                    [[n.sum(), n @ log1pexp(zs), n @ log1pexp(-zs)], n @ xs, (n * us) @ xs, h[upper]]
+                )
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(size), pa.int32()), pa.array(total)], names=["at", "v"]
+            [pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "v"]
         )
 
     parts = rows.select("x", "unlabelled", "positive").mapInArrow(run, "at int, v double")
-    out = np.zeros(size)
+    out = np.zeros(2 * per_class)
     for row in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():  # a fixed number
         out[row["at"]] = row["v"]
-    return out
-
-
-def fit(rows: DataFrame, prior: float) -> np.ndarray:
-    """Weights from counted rows (x, unlabelled, positive): the constant first."""
-    weights = np.zeros(WIDTH)
-    weights[0] = np.log(prior / (1 - prior))
-    n_unlabelled = rows.agg(F.sum("unlabelled")).first()[0] or 0
+    found: dict[str, np.ndarray | float] = {}
+    for kind, v in zip("up", out.reshape(2, per_class), strict=True):
+        n = found[f"{kind}_n"] = v[0]
+        v = v / max(n, 1)
+        found[f"{kind}_as_negative"], found[f"{kind}_as_positive"] = v[1], v[2]
+        found[f"{kind}_mean"], found[f"{kind}_up"] = v[3 : 3 + WIDTH], v[3 + WIDTH : 3 + 2 * WIDTH]
+        h = np.zeros((WIDTH, WIDTH))
+        h[upper] = v[3 + 2 * WIDTH :]
+        found[f"{kind}_hessian"] = h + np.triu(h, 1).T
+    return found
+
+
+def _ridge() -> np.ndarray:
     ridge = np.full(WIDTH, PENALTY)
     ridge[0] = 1e-9
-    upper = np.triu_indices(WIDTH)
-    for _ in range(STEPS):
-        s = _sums(rows, weights)
-        positives = s[3]
-        if not positives or not n_unlabelled:
-            return weights
-        sum_positive = s[4 : 4 + WIDTH] / positives
-        of_unlabelled = s[4 + WIDTH : 4 + 2 * WIDTH] / n_unlabelled
-        hessian = np.zeros((WIDTH, WIDTH))
-        hessian[upper] = s[4 + 2 * WIDTH :] / n_unlabelled
-        hessian += np.triu(hessian, 1).T + np.diag(ridge)
-        negative_risk = s[2] / n_unlabelled - prior * s[1] / positives
+    return ridge
+
+
+def negative_part(s: dict, prior: float) -> float:
+    return s["u_as_negative"] - prior * s["p_as_negative"]
+
+
+def risk(s: dict, prior: float, weights: np.ndarray) -> float:
+    """The non-negative risk with its penalty, from the sums at ``weights``."""
+    least = max(0.0, negative_part(s, prior))
+    return prior * s["p_as_positive"] + least + 0.5 * float(_ridge() @ weights**2)
+
+
+def _step(s: dict, prior: float, weights: np.ndarray) -> np.ndarray:
+    """The step to take from ``weights``, before it is shortened."""
+    ridge = _ridge()
+    curve = s["u_hessian"] + np.diag(ridge)
+    negative = negative_part(s, prior)
+    if negative >= 0:
         # The loss of z less that of -z is -z, so positives enter by their mean alone.
-        gradient = of_unlabelled - prior * sum_positive + ridge * weights
-        step = np.linalg.solve(hessian, gradient)
-        if negative_risk < 0:
-            step = -0.25 * step
-        largest = np.abs(step).max()
-        weights = weights - step * min(1.0, 4.0 / max(largest, 1e-12))
-        if largest < 1e-4:
+        step = -np.linalg.solve(curve, s["u_up"] - prior * s["p_mean"] + ridge * weights)
+    else:
+        slope = s["u_up"] - prior * s["p_up"]
+        step = np.linalg.solve(curve, slope)
+        step *= -negative / max(slope @ step, 1e-12)
+    return step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+
+
+def _descend(rows: DataFrame, start: np.ndarray, objective, direction) -> np.ndarray:
+    """The weights of the lowest ``objective`` met; steps that do not lower it are halved. A step
+    that the direction's other branch may still use (it crossed into it) goes on from there once."""
+    best, sums = start, _sums(rows, start)
+    if not sums["u_n"] or not sums["p_n"]:
+        return start
+    lowest, scale = objective(sums, best), 1.0
+    at, crossed = best, False
+    for _ in range(STEPS):
+        move = direction(sums, at)
+        if np.abs(move).max() * scale < 1e-4 or scale < SHORTEST:
             break
-    return weights
+        tried = at + scale * move
+        new = _sums(rows, tried)
+        value = objective(new, tried)
+        if value < lowest - 1e-9:
+            best, best_sums, lowest = tried, new, value
+            at, sums, crossed, scale = tried, new, False, min(1.0, 2 * scale)
+            continue
+        if at is best:
+            best_sums = sums
+        if not crossed:
+            at, sums, crossed = tried, new, True
+        else:
+            at, sums, crossed, scale = best, best_sums, False, scale / 2
+    return best
+
 
+def fit(rows: DataFrame, prior: float) -> np.ndarray:
+    """Weights from counted rows (x, unlabelled, positive): the constant first. Without positives
+    or unlabelled rows they give the prior to every text."""
+    start = np.zeros(WIDTH)
+    start[0] = np.log(prior / (1 - prior))
+    return _descend(
+        rows, start, lambda s, w: risk(s, prior, w), lambda s, w: _step(s, prior, w)
+    )
+
+
+def class_prior(rows: DataFrame) -> float:
+    """The share of positives among unlabelled texts, from counted rows; 0.5 where nothing tells.
+
+    Of all bounds of the score, the one with the least upper estimate of (share of unlabelled
+    texts above) / (share of positives above) gives the prior.
+    """
+    half = F.pmod(F.xxhash64("x"), F.lit(2))
+    ridge = _ridge()
+
+    def objective(s: dict, w: np.ndarray) -> float:
+        return s["p_as_positive"] + s["u_as_negative"] + 0.5 * float(ridge @ w**2)
+
+    def direction(s: dict, w: np.ndarray) -> np.ndarray:
+        slope = s["u_up"] + s["p_up"] - s["p_mean"] + ridge * w
+        step = -np.linalg.solve(s["u_hessian"] + s["p_hessian"] + np.diag(ridge), slope)
+        return step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+
+    # Each half's texts are scored by what the other half taught.
+    learned = [
+        _descend(rows.where(half == 1 - k), np.zeros(WIDTH), objective, direction) for k in (0, 1)
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, which = unpacked(batch.column(0)), batch.column(3).to_numpy()
+            z = np.clip((x * np.stack(learned)[which]).sum(axis=1), -500, 500)
+            at = np.minimum((SCORE_RANGES / (1 + np.exp(-z))).astype(np.int32), SCORE_RANGES - 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), batch.column(1), batch.column(2)], names=["at", "u", "p"]
+            )
 
-def class_prior(docs: DataFrame, labels: DataFrame) -> float:
-    """The share of positives among the labelled rows of the learning part."""
-    share = labels.agg(F.avg("quality")).first()[0]
-    return float(min(max(0.5 if share is None else share, PRIOR_BOUNDS[0]), PRIOR_BOUNDS[1]))
+    placed = rows.select("x", "unlabelled", "positive", half.alias("half"))
+    counts = placed.mapInArrow(run, "at int, u long, p long").groupBy("at").sum("u", "p")
+    held = np.zeros((2, SCORE_RANGES))
+    for at, u, p in counts.collect():  # one row per range of scores
+        held[:, at] = u, p
+    n_unlabelled, n_positive = held.sum(axis=1)
+    if not n_unlabelled or not n_positive:
+        return 0.5
+    above = held[:, ::-1].cumsum(axis=1)
+    u, p = above[0] / n_unlabelled, above[1] / n_positive
+    margin = np.sqrt(np.log(4 / DOUBT) / 2) * (n_unlabelled**-0.5 + n_positive**-0.5)
+    u, p = u[p > 0], p[p > 0]
+    best = int(np.argmin((u + margin) / p))
+    return float(min(max(u[best] / p[best], PRIOR_BOUNDS[0]), PRIOR_BOUNDS[1]))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -183,7 +283,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     counted = learning.groupBy("x").agg(
         F.count("*").alias("unlabelled"), F.count("_labelled").alias("positive")
     )
-    weights = fit(materialize(counted, "patterns"), class_prior(docs, known))
+    counted = materialize(counted, "patterns")
+    weights = fit(counted, class_prior(counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
