@@ -109,12 +109,11 @@ def leaf_budgets(
 
 
 def order_key(epoch: Column, seed: int) -> Column:
-    """The place of a document in an epoch: rows with the same doc_id stand together."""
-    return F.md5(
-        F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"),
-                    F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .cast("binary")
-    )
+    """The place of a document in an epoch: rows with the same doc_id stand together, rows
+    without one by their text."""
+    nameless = F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    name = F.coalesce(F.col("doc_id").cast("string"), nameless)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), name).cast("binary"))
 
 
 def plan(
@@ -124,21 +123,29 @@ def plan(
     """One row per leaf: path, tokens, budget, full (whole epochs) and ``cutoff``, the last
     place that the leaf takes from its next epoch, null if none.
 
+    Reads doc_id, text and ``levels``; other columns may have any names. A null or empty text
+    has no tokens; a leaf of such texts alone is not taken. Rows that repeat a doc_id, and rows
+    without one that repeat a text, are taken or left together, at any length: a leaf stops
+    before the first such group that does not fit, and what it leaves over is not dealt again.
+    Nulls in ``levels`` are a name of their own. An empty table gives no rows.
+
     The budget is ``budget`` tokens, or ``share`` of what there is. The running sums of a leaf
     are taken in two steps, over hash ranges and then over the one range in which the budget
     ends, so that a leaf with a third of all rows is no group of one task.
     """
+    names = [f"level{i}" for i in range(len(levels))]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"),
         path(levels).alias("path"),
-        *[F.col(c) for c in levels],
+        *[F.col(c).alias(n) for c, n in zip(levels, names, strict=True)],
         text_tokens().alias("tokens"),
     )
     rows = materialize(rows, "sized")
-    leaves = materialize(rows.groupBy("path", *levels).agg(F.sum("tokens").alias("tokens")), "leaf")
+    leaves = materialize(rows.groupBy("path", *names).agg(F.sum("tokens").alias("tokens")), "leaf")
     if budget is None:
         budget = share * (leaves.agg(F.sum("tokens")).first()[0] or 0)
-    budgets = leaf_budgets(leaves, levels, float(budget), weights or {}, epochs)
+    budgets = leaf_budgets(leaves, names, float(budget), weights or {}, epochs)
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
     budgets = materialize(
         budgets.withColumn("full", full).withColumn(
@@ -147,10 +154,10 @@ def plan(
         "budgets",
     )
     open_ = budgets.where("rest > 0").select("path", "full", "rest")
-    placed = rows.select("doc_id", "path", "tokens").join(open_, "path")
+    placed = rows.select("doc_id", "text", "path", "tokens").join(open_, "path")
     placed = placed.withColumn("place", order_key(F.col("full"), seed)).withColumn(
         "bucket", F.substring("place", 1, BUCKET_DIGITS)
-    )
+    ).drop("text", "doc_id")
     sums = placed.groupBy("path", "bucket", "rest").agg(F.sum("tokens").alias("in_bucket"))
     upto = Window.partitionBy("path").orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("in_bucket").over(upto))
@@ -178,17 +185,21 @@ def plan(
 
 
 def selected(docs: DataFrame, leaves: DataFrame, levels: list[str], seed: int = 7) -> DataFrame:
-    """Rows of ``docs``, as often as the plan takes them, with ``epoch`` from 0.
+    """Rows of ``docs``, as often as the plan takes them, with ``epoch`` from 0, which takes the
+    place of a column of that name; all other columns stay, whatever their names.
 
     The plan has one row per leaf, so it is broadcast while it is small, and texts stay where
     they are read.
     """
-    chosen = leaves.select(F.col("path").alias("_path"), "full", "cutoff")
-    more = F.coalesce(order_key(F.col("full"), seed) <= F.col("cutoff"), F.lit(False))
-    times = F.col("full") + more.cast("int")
+    names = {c.lower() for c in docs.columns}
+    ours = next(c for c in (f"_leaf{i}" for i in range(len(names) + 1)) if c not in names)
+    chosen = leaves.select(F.struct("path", "full", "cutoff").alias(ours))
+    full = F.col(ours)["full"]
+    more = F.coalesce(order_key(full, seed) <= F.col(ours)["cutoff"], F.lit(False))
+    times = full + more.cast("int")
     return (
-        docs.join(chosen, path(levels) == F.col("_path"))
+        docs.join(chosen, path(levels) == F.col(ours)["path"])
         .where(times > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
-        .drop("_path", "full", "cutoff")
+        .drop(ours)
     )
