@@ -2,10 +2,11 @@
 
 Documents are cut into pieces only where they are longer than a sequence. Pieces are dealt to
 shards by a hash, so a hot source or a group of copies does not matter. In a shard every piece
-first goes to the bin it fits best, longest piece first; then underfull bins are searched: the
-pieces of the emptiest bin move, or change places one for one or two for one with shorter
-pieces of fuller bins, as long as the sum of squared fills grows, until the bin is empty or
-nothing helps. A second round deals the bins that stayed underfull anew, in shards of whole
+first goes to the bin it fits best, longest piece first. Then underfull bins are drawn in pairs,
+and in each pair the emptier one gives a piece away, or two or one for a shorter one, so that
+the sum of squared fills grows by as much as that pair allows, until bins are empty. The search
+ends at the least number of bins that the total length permits, or when many rounds in a row
+emptied no bin. A second round deals the bins that stayed underfull anew, in shards of whole
 bins, since what is left over in one shard fills gaps of another.
 """
 
@@ -25,8 +26,13 @@ from jobmart.llm.common import materialize, ready
 from jobmart.llm.tokens import encoder, slices
 
 SHARD_PIECES = 40_000
-#: The local search of a bin ends after this many exchanges; the bin then stays as it is.
-BIN_STEPS = 24
+#: The search ends after this many rounds without a bin emptied.
+PATIENCE = 120
+#: Pieces of a bin that one round tries; bins with more of them offer others in other rounds.
+OFFERED = 8
+#: Pairs of bins whose exchanges are compared at once.
+PAIRS = 4096
+SEED = 20_250_207
 PIECES = "doc_id long, copy long, piece int, start long, length int, ids_crc32 long"
 BINS = "doc_id long, copy long, piece int, length int, bin long, fill int"
 #: A bin's number is its round, its shard and its place in the shard.
@@ -66,8 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
 
 class Bins:
-    """Bins of one shard. ``holding[x]`` lists bins that hold a piece of length x, and
-    ``roomiest[x]`` is the most room that any of them has."""
+    """Bins of one shard, found by their room. An item is (length, number)."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
@@ -116,85 +121,99 @@ class Bins:
                 self.content[b].append(item)
                 self.put_room(b, self.room[b] - item[0])
 
-    def search(self) -> None:
-        """Try to empty the underfull bins, emptiest first."""
-        holding: list[set[int]] = [set() for _ in range(self.capacity + 1)]
-        roomiest = np.zeros(self.capacity + 1, np.int64)
-        for b, items in enumerate(self.content):
-            if self.room[b]:
-                for x, _ in items:
-                    holding[x].add(b)
-                    roomiest[x] = max(roomiest[x], self.room[b])
-        lengths = np.arange(self.capacity + 1)
-
-        def refresh(b: int) -> None:
-            for x, _ in self.content[b]:
-                (holding[x].add if self.room[b] else holding[x].discard)(b)
-                roomiest[x] = max((self.room[o] for o in holding[x]), default=0)
-
-        def leave(b: int, x: int) -> None:
-            if all(y != x for y, _ in self.content[b]):
-                holding[x].discard(b)
-            roomiest[x] = max((self.room[o] for o in holding[x]), default=0)
-
-        def swap(b: int, given: list[tuple[int, int]]) -> bool:
-            """Give ``given`` to a fuller bin for one shorter piece; the most that fits."""
-            total = sum(x for x, _ in given)
-            gain = total - lengths
-            able = (gain > 0) & (roomiest >= gain)
-            for y in np.flatnonzero(able)[:8]:
-                for o in holding[y]:
-                    if o != b and self.room[o] >= total - y and self.room[o] < self.room[b]:
-                        taken = next(i for i in self.content[o] if i[0] == y)
-                        self.content[o].remove(taken)
-                        for item in given:
-                            self.content[b].remove(item)
-                        self.content[o] += given
-                        self.content[b].append(taken)
-                        self.put_room(o, self.room[o] - (total - int(y)))
-                        self.put_room(b, self.room[b] + total - int(y))
-                        for x in {*(i[0] for i in given)}:
-                            leave(b, x)
-                        leave(o, int(y))
-                        refresh(o)
-                        refresh(b)
-                        return True
-            return False
-
-        for b in sorted(range(len(self.content)), key=lambda i: -self.room[i]):
-            if not 0 < self.room[b] < self.capacity:
-                continue
-            if self.room[b] * 4 < self.capacity:  # fuller bins are receivers only
-                break
-            for _ in range(BIN_STEPS):
-                moved = False
-                for item in sorted(self.content[b], reverse=True):
-                    o = self.tightest(item[0], without=b)
-                    if o >= 0 and self.room[o] < self.room[b] and self.content[o]:
-                        self.content[b].remove(item)
-                        self.content[o].append(item)
-                        self.put_room(o, self.room[o] - item[0])
-                        self.put_room(b, self.room[b] + item[0])
-                        leave(b, item[0])
-                        refresh(o)
-                        moved = True
-                        break
-                if not self.content[b]:
-                    self.by_room[self.room[b]].discard(b)
-                    if not self.by_room[self.room[b]]:
-                        self.rooms &= ~(1 << self.room[b])
-                    break
-                if moved:
-                    continue
-                items = sorted(self.content[b], reverse=True)
-                pairs = [[p, q] for i, p in enumerate(items[:4]) for q in items[i + 1 : 5]]
-                if not any(swap(b, g) for g in [[i] for i in items[:5]] + pairs):
-                    break
-
-
-def pack_shard(lengths: list[int], capacity: int, groups: list[int] | None = None) -> list[int]:
+
+def _offers(
+    content: list[list[tuple[int, int]]], bins: np.ndarray, random: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and numbers of up to ``OFFERED`` pieces of each bin, drawn anew, 0 and -1 beyond."""
+    lengths = np.zeros((len(bins), OFFERED), np.int32)
+    numbers = np.full((len(bins), OFFERED), -1, np.int64)
+    for row, b in enumerate(bins):
+        some = content[b]
+        if len(some) > OFFERED:
+            some = [some[i] for i in random.choice(len(some), OFFERED, replace=False)]
+        for k, (length, number) in enumerate(some):
+            lengths[row, k], numbers[row, k] = length, number
+    return lengths, numbers
+
+
+def _exchanges(
+    given: np.ndarray, taken: np.ndarray, room: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of bins the greatest feasible gain of the fuller one, and what to exchange:
+    two places of pieces of the emptier bin (the second -1 for a single piece) for one place of
+    the fuller bin (-1 for none)."""
+    first, second = np.triu_indices(OFFERED, 1)
+    one = np.arange(OFFERED)
+    sums = np.concatenate([given, given[:, first] + given[:, second]], axis=1)
+    # A pair with an empty place is the single piece over again.
+    sums[:, OFFERED:][(given[:, first] == 0) | (given[:, second] == 0)] = 0
+    back = np.concatenate([np.zeros((len(taken), 1), taken.dtype), taken], axis=1)
+    gain = sums[:, :, None] - back[:, None, :]
+    bad = (gain <= 0) | (gain > room[:, None, None]) | (sums == 0)[:, :, None]
+    bad[:, :, 1:] |= (taken == 0)[:, None, :]
+    gain[bad] = 0
+    flat = gain.reshape(len(gain), -1)
+    best = flat.argmax(axis=1)
+    which, place = np.divmod(best, OFFERED + 1)
+    p = np.concatenate([one, first])[which]
+    q = np.concatenate([np.full(OFFERED, -1), second])[which]
+    return flat[np.arange(len(flat)), best], p, q, place - 1
+
+
+def search(bins: Bins, random: np.random.Generator, patience: int = PATIENCE) -> int:
+    """Exchange pieces between underfull bins until none can be emptied; returns how many were.
+
+    Every exchange moves length from an emptier to a fuller bin, so squared fill grows with each.
+    """
+    content, capacity = bins.content, bins.capacity
+    room = np.array(bins.room, np.int64)
+    total = int((capacity - room).sum())
+    used = int((room < capacity).sum())
+    least, emptied, idle = -(-total // capacity), 0, 0
+    while used > least and idle < patience:
+        idle += 1
+        under = np.flatnonzero((room > 0) & (room < capacity))
+        if len(under) < 2:
+            break
+        # One round in two sets the emptiest bins against the others, else all are drawn.
+        if idle % 2:
+            by = under[np.argsort(-room[under], kind="stable")]
+            half = len(by) // 2
+            givers, takers = by[:half], random.permutation(by[half:])[:half]
+        else:
+            drawn = random.permutation(under)
+            half = len(drawn) // 2
+            givers, takers = drawn[:half], drawn[half : 2 * half]
+            wrong = room[givers] < room[takers]
+            givers, takers = np.where(wrong, takers, givers), np.where(wrong, givers, takers)
+        for at in range(0, half, PAIRS):
+            a, b = givers[at : at + PAIRS], takers[at : at + PAIRS]
+            given, given_no = _offers(content, a, random)
+            taken, taken_no = _offers(content, b, random)
+            gain, p, q, t = _exchanges(given, taken, room[b])
+            for i in np.flatnonzero(gain):
+                x, y = int(a[i]), int(b[i])
+                out = {int(given_no[i, p[i]])} | ({int(given_no[i, q[i]])} if q[i] >= 0 else set())
+                back = int(taken_no[i, t[i]]) if t[i] >= 0 else -1
+                moved = [g for g in content[x] if g[1] in out]
+                returned = [g for g in content[y] if g[1] == back]
+                content[x] = [g for g in content[x] if g[1] not in out] + returned
+                content[y] = [g for g in content[y] if g[1] != back] + moved
+                room[x] += gain[i]
+                room[y] -= gain[i]
+                if not content[x]:
+                    emptied, used, idle = emptied + 1, used - 1, 0
+    bins.room = room.tolist()
+    return emptied
+
+
+def pack_shard(
+    lengths: list[int], capacity: int, groups: list[int] | None = None, patience: int = PATIENCE
+) -> list[int]:
     """Bin number of each piece. ``groups`` names the bins that pieces already share: these
-    are kept at the start and only searched."""
+    are kept at the start and only searched. Equal input gives equal bins, so that a task that
+    is run again after a loss gives the same; ``patience`` 0 searches nothing."""
     bins = Bins(capacity)
     items = [(int(x), i) for i, x in enumerate(lengths)]
     if groups is None:
@@ -205,7 +224,7 @@ def pack_shard(lengths: list[int], capacity: int, groups: list[int] | None = Non
             held.setdefault(g, []).append(item)
         for some in held.values():
             bins.open(some)
-    bins.search()
+    search(bins, np.random.default_rng(SEED), patience)
     out = [0] * len(items)
     for b, some in enumerate(bins.content):
         for _, i in some:
