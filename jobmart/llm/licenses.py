@@ -1,16 +1,15 @@
 """License statements in texts: phrases that stand word for word, and statement templates that
 a text block contains by an exact set-similarity join. All of it is DataFrame expressions.
 
-A block is a line. The tokens of the templates are ordered by the number of blocks of the
-whole corpus that hold them, rarest first. A block can only hold ``CONTAINMENT`` of a template
-if it holds one of the template's prefix tokens, the ``size - need + 1`` rarest; blocks are
-joined to templates on these alone. What is left must have enough tokens at all (length
-filter) and enough of them from the matching place on (positional filter), and is confirmed
-by counting the tokens that both have. No pair above the threshold is lost.
-
-A statement that is wrapped over lines is found by runs of as many words as the template has,
-wherever they start and over line ends. They are looked at in texts that hold enough of the
-template at all.
+A block is a run of as many words as a template has, wherever it starts and over line ends. The
+tokens of the templates are ordered by the number of texts that hold them, rarest first. A
+block can only hold ``CONTAINMENT`` of a template if it holds one of the template's prefix tokens,
+the ``size - need + 1`` rarest; places are joined to templates on these alone. Around such a place
+there must be enough tokens at all (length filter), and enough of them after the prefix token in
+the order (positional filter: the rarest token that both have is one of the places joined). What
+is left is confirmed by counting in each block that covers the place. No pair above the threshold
+is lost. A block gets the label if it also holds the words that tell this license from its
+relatives, and none of theirs.
 """
 
 from __future__ import annotations
@@ -45,7 +44,36 @@ TEMPLATES = [
     ("mpl-2.0", "This file is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without"
      " modification, are permitted provided that the following conditions are met"),
+    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of"
+     " this software and associated documentation files"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain"
+     " a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the"
+     " terms of the GNU General Public License as published by the Free Software Foundation;"
+     " either version 2 of the License"),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the"
+     " terms of the GNU General Public License as published by the Free Software Foundation,"
+     " either version 3 of the License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with"
+     " or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: For each label the words that a block must hold, and those that it must not.
+DECIDING = {
+    "apache-2.0": ("apache 2", ""),
+    "gpl-2.0": ("gnu general public 2", "lesser affero"),
+    "gpl-3.0": ("gnu general public 3", "lesser affero"),
+    "lgpl": ("lesser general public", ""),
+    "cc-by-4.0": ("cc by 4", "nc nd sa"),
+    "cc-by-nc-4.0": ("cc by nc 4", "nd sa"),
+    "cc-by-sa-4.0": ("cc by sa 4", "nc nd"),
+    "mit-statement": ("mit", ""),
+    "mpl-2.0": ("mozilla 2", ""),
+    "bsd-3-clause": ("redistribution binary", ""),
+    "mit-notice": ("granted obtaining software", ""),
+    "isc": ("granted fee software", ""),
+    "unlicense": ("unencumbered", ""),
+}
 
 
 def template_tokens(text: str) -> list[str]:
@@ -53,6 +81,19 @@ def template_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[0-9a-z]+", text.lower())))
 
 
+def statements() -> list[tuple[str, int, list[str], list[str], list[str]]]:
+    """Label, words of a block, distinct words, words to hold, words not to hold, by template."""
+    return [
+        (label, len(re.findall(r"[0-9a-z]+", text.lower())), template_tokens(text),
+         *(part.split() for part in DECIDING[label]))
+        for label, text in TEMPLATES
+    ]
+
+
+def least_shared(tokens: list[str]) -> int:
+    return math.ceil(CONTAINMENT * len(tokens) - 1e-9)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^{SEPARATORS}]+"), F.lit(0))
 
@@ -101,17 +142,13 @@ def phrases_found(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_tokens(low: Column, wanted: list[str]) -> Column:
-    """For each line, the distinct tokens among ``wanted``."""
-    among = F.array(*map(F.lit, wanted))
-    return F.transform(F.split(low, "\n"), lambda x: F.array_intersect(words(x), among))
-
-
 def token_order(docs: DataFrame) -> list[str]:
-    """Template tokens, rarest in the corpus first (by blocks that hold them, then by name)."""
-    vocabulary = sorted({t for _, text in TEMPLATES for t in template_tokens(text)})
+    """Words of templates and deciding words, rarest in the corpus first (by texts that hold
+    them, then by name)."""
+    vocabulary = sorted({w for s in statements() for part in s[2:] for w in part})
+    among = F.array(*map(F.lit, vocabulary))
     counts = (
-        docs.select(F.explode(F.flatten(line_tokens(F.col("_low"), vocabulary))).alias("token"))
+        docs.select(F.explode(F.array_intersect(words(F.col("_low")), among)).alias("token"))
         .groupBy("token")
         .count()
     )
@@ -119,78 +156,79 @@ def token_order(docs: DataFrame) -> list[str]:
     return sorted(vocabulary, key=lambda t: (found.get(t, 0), t))
 
 
-def matched_blocks(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """(key, block, label, containment) for rows (key, block, tokens) and every template that
-    the block contains to ``CONTAINMENT`` at least. ``tokens`` are the block's template
-    tokens in ``order``."""
-    spark = blocks.sparkSession
-    rank = {t: i for i, t in enumerate(order)}
-    rows = []
-    for label, text in TEMPLATES:
-        tokens = sorted(template_tokens(text), key=rank.get)
-        need = math.ceil(CONTAINMENT * len(tokens) - 1e-9)
-        for place, token in enumerate(tokens[: len(tokens) - need + 1]):
-            rows.append((token, place, label, need, tokens))
-    prefixes = spark.createDataFrame(
-        rows, "token string, place int, label string, need int, template array<string>"
+def hits(low: Column, order: list[str]) -> Column:
+    """Places of the words in ``order``, each with the word's number there, from 1. Null for texts
+    that lack a word to hold of every template."""
+    may = F.lit(False)
+    for _, _, _, must, _ in statements():
+        held = F.lit(True)
+        for word in must:
+            held = held & low.contains(word)
+        may = may | held
+    places = F.transform(words(low), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    ours = F.filter(places, lambda x: x["word"].isin(order))
+    numbers = F.array(*map(F.lit, order))
+    ranked = F.transform(
+        ours,
+        lambda x: F.struct(
+            x["at"].alias("at"), F.array_position(numbers, x["word"]).cast("int").alias("rank")
+        ),
     )
-    probes = blocks.select("key", "block", "tokens", F.posexplode("tokens").alias("at", "token"))
-    able = F.least(F.size("template") - F.col("place"), F.size("tokens") - F.col("at"))
+    return F.when(may, ranked)
+
+
+def matched_blocks(texts: DataFrame, order: list[str]) -> DataFrame:
+    """(key, label, containment) of the templates that a block of the text holds to
+    ``CONTAINMENT`` at least, with the label's deciding words. ``texts`` has key and ``hits``."""
+    spark = texts.sparkSession
+    rank = {t: i + 1 for i, t in enumerate(order)}
+    rows, longest = [], 0
+    for label, length, tokens, must, never in statements():
+        ranks = sorted(rank[t] for t in tokens)
+        need = least_shared(tokens)
+        longest = max(longest, length)
+        others = [rank[t] for t in must], [rank[t] for t in never]
+        for token in ranks[: len(ranks) - need + 1]:
+            rows.append((token, label, length, need, ranks, *others))
+    prefixes = spark.createDataFrame(
+        rows, "token int, label string, length int, need int, template array<int>,"
+        " must array<int>, never array<int>",
+    )
+    rare = sorted({r[0] for r in rows})
+    all_hits = F.col("hits")
+
+    def around(h: Column, i: Column) -> Column:
+        first = F.greatest(i - (longest - 2), F.lit(1))
+        near = F.slice(all_hits, first, F.lit(2 * longest - 1))
+        return F.when(h["rank"].isin(rare), F.struct(h["at"].alias("at"), h["rank"].alias("token"),
+                                                     near.alias("near")))
+
+    probes = texts.select(
+        "key", F.explode(F.array_compact(F.transform(all_hits, around))).alias("p")
+    ).select("key", "p.*")
+    at, length, need = F.col("at"), F.col("length"), F.col("need")
+    reach = F.filter("near", lambda g: F.abs(g["at"] - at) < length)
     candidates = (
         probes.join(F.broadcast(prefixes), "token")  # a few rows for each fixed template
-        .where(F.size("tokens") >= F.col("need"))
-        .where(F.size(F.array_intersect("tokens", "template")) >= F.col("need"))
-    )
-    # The first token that both have decides by its place whether enough can follow.
-    first = candidates.groupBy("key", "block", "label").agg(
-        F.min_by(F.struct("tokens", "template", able.alias("able"), "need"), "at").alias("m")
-    )
-    shared = F.size(F.array_intersect("m.tokens", "m.template"))
-    return (
-        first.where(F.col("m.able") >= F.col("m.need"))
-        .withColumn("containment", shared / F.size("m.template"))
-        .where(shared >= F.col("m.need"))
-        .select("key", "block", "label", "containment")
+        .withColumn("near", reach)
+        .where(F.size("near") >= need)
+        .where(F.size(F.filter("near", lambda g: g["rank"] > F.col("token"))) + 1 >= need)
     )
 
+    def shared(start: Column) -> Column:
+        run = F.filter(
+            "near", lambda g: (g["at"] >= start["at"]) & (g["at"] < start["at"] + length)
+        )["rank"]
+        held = F.size(F.array_intersect(run, F.col("template")))
+        decided = F.size(F.array_except("must", run)) == 0
+        decided = decided & ~F.arrays_overlap(run, F.col("never"))
+        return F.when(decided & (held >= need), held).otherwise(0)
 
-def _word_among(tokens: list[str]):
-    return lambda place: place["word"].isin(tokens)
-
-
-def _words_ahead(hits: Column, length: int):
-    """How many distinct words among ``hits`` the run of ``length`` words from a hit on holds."""
-
-    def held(h: Column, i: Column) -> Column:
-        run = F.filter(F.slice(hits, i + 1, length), lambda g: g["at"] < h["at"] + length)
-        return F.size(F.array_distinct(run["word"]))
-
-    return held
-
-
-def wrapped(texts: DataFrame) -> DataFrame:
-    """Adds ``_wrapped``, an array of (label, containment) of the templates of which a run of
-    words of their length holds ``CONTAINMENT`` at least, to texts of several lines (``_low``,
-    and ``_held``, the template tokens in the text)."""
-    found = []
-    for k, (label, text) in enumerate(TEMPLATES):
-        tokens = template_tokens(text)
-        need = math.ceil(CONTAINMENT * len(tokens) - 1e-9)
-        length = len(re.findall(r"[0-9a-z]+", text.lower()))
-        among, hits = F.array(*map(F.lit, tokens)), F.col(f"_hits{k}")
-        may = (F.size(F.array_intersect("_held", among)) >= need) & F.col("_low").contains("\n")
-        places = F.transform(
-            words(F.col("_low")), lambda w, i: F.struct(i.alias("at"), w.alias("word"))
-        )
-        texts = texts.withColumn(
-            f"_hits{k}", F.when(may, F.filter(places, _word_among(tokens)))
-        )
-
-        most = F.array_max(F.transform(hits, _words_ahead(hits, length)))
-        share = (most / len(tokens)).alias("containment")
-        found.append(F.when(most >= need, F.struct(F.lit(label).alias("label"), share)))
-    return texts.withColumn("_wrapped", F.array_compact(F.array(*found))).drop(
-        *[f"_hits{k}" for k in range(len(TEMPLATES))]
+    starts = F.filter("near", lambda g: g["at"] <= at)
+    return (
+        candidates.withColumn("most", F.array_max(F.transform(starts, shared)))
+        .where(F.col("most") >= need)
+        .select("key", "label", (F.col("most") / F.size("template")).alias("containment"))
     )
 
 
@@ -200,45 +238,28 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     ``score`` is 1 where a phrase stands, else the greatest containment of a template, 0 if
     none reaches the threshold. A null or empty text has no words and no labels. Rows that
-    repeat are judged alike, doc_id may be null, an empty table gives no rows.
+    repeat are judged alike, doc_id may be null, texts may be of any length, an empty table gives no
+    rows.
     """
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(text).alias("_low"))
     order = token_order(texts)
-    rank = {t: i for i, t in enumerate(order)}
-    prefixes = set()
-    for _, statement in TEMPLATES:
-        tokens = sorted(template_tokens(statement), key=rank.get)
-        need = math.ceil(CONTAINMENT * len(tokens) - 1e-9)
-        prefixes |= set(tokens[: len(tokens) - need + 1])
-    rare = F.array(*map(F.lit, sorted(prefixes, key=rank.get)))
-    places = F.array(*map(F.lit, order))
-    # Only lines with a prefix token can match; most texts have none.
-    lines = F.filter("_lines", lambda x: F.arrays_overlap(x, rare))
-    ordered = F.transform(lines, lambda x: F.array_intersect(places, x))
     measured = materialize(
-        wrapped(
-            phrases_found(texts)
-            .withColumn("_lines", line_tokens(F.col("_low"), order))
-            .withColumn("blocks", ordered)
-            .withColumn("_held", F.array_distinct(F.flatten("_lines")))
-        )
+        phrases_found(texts)
+        .withColumn("hits", hits(F.col("_low"), order))
         .withColumn("key", F.monotonically_increasing_id())
-        .drop("_low", "_lines", "_held"),
+        .drop("_low"),
         "license-blocks",
     )
-    blocks = measured.select("key", F.posexplode("blocks").alias("block", "tokens"))
     by_doc = (
-        matched_blocks(blocks, order)
+        matched_blocks(measured.select("key", "hits"), order)
         .groupBy(F.col("key").alias("_key"))
         .agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     )
-    empty = F.array().cast("array<string>")
-    more = F.array_union(F.coalesce("_more", empty), F.col("_wrapped.label"))
-    best = F.greatest("_best", F.array_max("_wrapped.containment"))
-    return measured.join(by_doc, F.col("key") == F.col("_key"), "left").select(
+    more = F.coalesce("_more", F.array().cast("array<string>"))
+    return measured.drop("hits").join(by_doc, F.col("key") == F.col("_key"), "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base", more)), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),
     )

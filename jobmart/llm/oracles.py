@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from jobmart.llm.common import LOWER, UPPER
-from jobmart.llm.licenses import TEMPLATES, template_tokens
+from jobmart.llm.licenses import statements
 
 HOST_RULES = r"""
 WITH texts AS (
@@ -60,12 +60,13 @@ FROM judged LEFT JOIN rejected ON judged.source = rejected.source
 """
 
 _STATEMENTS = ", ".join(
-    f"('{label}', {template_tokens(text)})" for label, text in TEMPLATES
-)
+    f"('{label}', {n}, {template}, {must}, CAST({never} AS VARCHAR[]))"
+    for label, n, template, must, never in statements()
+)
 
 LICENSES = (
     r"""
-WITH statements(label, template) AS (VALUES """
+WITH statements(label, n, template, must, never) AS (VALUES """
     + _STATEMENTS
     + r"""), texts AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -81,15 +82,17 @@ WITH statements(label, template) AS (VALUES """
          list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS cc,
          list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS mit
   FROM cut
-), lines AS (
-  SELECT r, unnest(string_split(low, chr(10))) AS line FROM texts
-), tokens AS (
-  SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
-  FROM lines
+), runs AS (
+  SELECT r, label, template, must, never,
+         unnest(list_transform(list_filter(range(1, len(w) + 1),
+                                           lambda i: list_contains(template, w[i])),
+                               lambda i: list_distinct(w[i : i + n - 1]))) AS t
+  FROM cut, statements WHERE list_has_all(w, must)
 ), matched AS (
   SELECT r, label, len(list_intersect(t, template)) / len(template) AS containment
-  FROM tokens, statements
+  FROM runs
   WHERE 10 * len(list_intersect(t, template)) >= 8 * len(template)
+    AND list_has_all(t, must) AND NOT list_has_any(t, never)
 ), more AS (
   SELECT r, list(DISTINCT label) AS labels, max(containment) AS best FROM matched GROUP BY r
 ), based AS (

@@ -238,12 +238,13 @@ def test_license_templates_against_all_templates(spark, small):
             places += at
             base |= {label} if at else set()
         labels, best = set(base), 0.0
-        for line in low.split("\n"):
-            tokens = set(re.findall(pattern, line))
-            for label, text in licenses.TEMPLATES:
-                t = set(licenses.template_tokens(text))
-                share = len(t & tokens) / len(t)
-                if share >= licenses.CONTAINMENT - 1e-9:
+        for label, length, template, must, never in licenses.statements():
+            if not set(must) <= set(words):
+                continue
+            for at in range(len(words)):
+                run = set(words[at : at + length])
+                share = len(run & set(template)) / len(template)
+                if share >= licenses.CONTAINMENT - 1e-9 and run >= set(must) and not run & set(never):
                     labels.add(label)
                     best = max(best, share)
         g = got[r["doc_id"]]
