@@ -304,7 +304,7 @@ def keyword_match(v):
     ).withColumn("code", F.substring_index("code", "/", 1))
     names = materialize(names, "names")
     rows = docs.select("doc_id", "text", F.array("lang", "source").alias("listed"))
-    return match_terms(rows, names, ["doc_id"], ["text"], listed="listed", symbol_names=False)
+    return match_terms(rows, names, ["doc_id"], ["text"], listed="listed")
 
 
 @check(

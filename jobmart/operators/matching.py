@@ -83,18 +83,19 @@ def match_terms(
     doc_key: Sequence[str],
     text_cols: Sequence[str],
     listed: str | None = None,
-    symbol_names: bool = True,
 ) -> DataFrame:
     """Distinct ``(doc_key, code, name)`` of all names found in the rows of ``docs``.
 
     ``names`` comes from :func:`reference_list`. ``listed`` names an array column with the
-    structured names of a row. ``symbol_names=False`` skips the work that only names without
-    any letter or digit need. A NULL text holds no name; a NULL in the key is kept as it is. The
+    structured names of a row. A NULL text holds no name; a NULL in the key is kept as it is. The
     words of the texts that names have are stored in the shared folder when this is called.
+    Texts are searched for symbols only if some name has no letter or digit, which ``names`` is
+    asked first: no caller has to promise it.
     """
     columns = [F.col(c) for c in text_cols]
     texts = columns[0] if len(columns) == 1 else F.concat_ws("\n", *columns)
     choices = _choices(names)
+    symbol_names = not choices.where(~F.col("anchor").rlike(f"^{_WORD}$")).isEmpty()
     # Texts are cut into words here only. Of their words those that names have are stored; both
     # the counts and the candidates come from this table.
     held = docs.select(
