@@ -16,9 +16,12 @@ from jobmart.operators.merge import insert_ignore, keyed_update, upsert, zero_th
 from jobmart.operators.numbering import allocate_ids
 from jobmart.operators.sequence import with_group
 from jobmart.operators.statistics import exact_medians
+from jobmart.shared import materialize
 
 # --- Fixed values: thresholds, texts and category names of the gold tables. ---
 CORE_SHARE = "0.5000"
+BUSY_JOBS = 100_000
+PAIRS_PER_TASK = 200_000
 WORK_MODE_UNKNOWN = "公司未提供此資訊"
 CARD_TEXT_LENGTH = 80
 SKILL_NAME_LENGTH = 15
@@ -222,26 +225,60 @@ def category_skill_weight(
     job_skill: DataFrame,
     job_specialty: DataFrame,
     options: DataFrame,
+    busy_jobs: int = BUSY_JOBS,
 ) -> DataFrame:
     """Share of the jobs of a category that ask for a standard skill.
 
-    Both sides of the large join are made distinct per job first, so each joined row is one
-    (job, category, skill) and a plain, partially aggregated count gives the distinct jobs.
-    A category code with several names keeps one denominator per name.
+    Both sides of the large join are distinct per job, so each (job, category, skill) comes once
+    and a plain count gives the distinct jobs. The skills of a job travel to its categories as one
+    array, and everything after that shuffle is partitioned by the category: counts, totals, and
+    what callers group by it. Categories with more than ``busy_jobs`` jobs are counted before
+    the shuffle, from which they send one row per skill and task instead of one per job. A
+    category code with several names keeps one denominator per name.
+
+    The distinct (job, category) pairs are stored in the shared folder when this is called. Their
+    number sets the number of partitions, so that a task counts the skills of about
+    ``PAIRS_PER_TASK`` of them, however large the tables are.
     """
-    pairs = _category_pairs(job_category)
+    spark = job_category.sparkSession
+    pairs = materialize(_category_pairs(job_category), "category-pairs")
+    tasks = pairs.count() // PAIRS_PER_TASK
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     skills = job_skill.select("job_id", "skill_code").unionByName(
         job_specialty.select("job_id", F.col("specialty_code").alias("skill_code"))
     )
     named = options.where("std_skill_name IS NOT NULL").select("skill_code", "std_skill_name")
-    job_std = skills.join(named, "skill_code").select("job_id", "std_skill_name").distinct()
-    per_skill = (
-        pairs.join(job_std, "job_id")
-        .groupBy("category_code", "category_name", "std_skill_name")
-        .agg(F.count(F.lit(1)).alias("skill_jobs"))
+    job_std = (
+        skills.join(named, "skill_code")
+        .groupBy("job_id")
+        .agg(F.collect_set("std_skill_name").alias("_skills"))
+    )
+    category = ["category_code", "category_name"]
+    totals = pairs.groupBy(*category).agg(F.count(F.lit(1)).alias("total_jobs"))
+    # at most one row per busy_jobs rows of pairs, so it can be sent to every task
+    busy = F.broadcast(
+        totals.groupBy("category_code").agg(F.sum("total_jobs").alias("_n"))
+        .where(F.col("_n") > busy_jobs)
+        .select("category_code")
     )
-    totals = pairs.groupBy("category_code", "category_name").agg(
-        F.count(F.lit(1)).alias("total_jobs")
+
+    def asked(some_pairs: DataFrame) -> DataFrame:
+        return some_pairs.join(job_std, "job_id").select(*category, "_skills")
+
+    calm = asked(pairs.join(busy, "category_code", "left_anti"))
+    counted = (
+        asked(pairs.join(busy, "category_code"))
+        .select(*category, F.explode("_skills").alias("_skill"))
+        .groupBy(*category, "_skill")
+        .agg(F.count(F.lit(1)).alias("_jobs"))
+    )
+    per_skill = (
+        calm.withColumn("_jobs", F.lit(1).cast("long"))
+        .unionByName(counted.select(*category, F.array("_skill").alias("_skills"), "_jobs"))
+        .repartition(*([tasks] if tasks > usual else []), "category_code")
+        .select(*category, F.explode("_skills").alias("std_skill_name"), "_jobs")
+        .groupBy(*category, "std_skill_name")
+        .agg(F.sum("_jobs").alias("skill_jobs"))
     )
     joined = per_skill.join(totals.drop("category_name"), "category_code")
     share = F.col("skill_jobs").cast("decimal(18,0)") / F.col("total_jobs").cast("decimal(18,0)")

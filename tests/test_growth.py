@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from jobmart.checks import all_queries
+from jobmart.plans import gold
+from jobmart.sources import tables
 
 
 def test_keyword_match_finds_names_without_ascii_letters(spark, tmp_path):
@@ -13,3 +15,65 @@ def test_keyword_match_finds_names_without_ascii_letters(spark, tmp_path):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = all_queries()["keyword_match"](spark, str(tmp_path)).where(F.col("name") == "Ñ.")
     assert [tuple(r) for r in rows.collect()] == [(1, "b7", "Ñ.")]
+
+
+def _weight_tables(spark):
+    rows = [(j, j % 7 % 3, f"cat {j % 2}") for j in range(60)] + [(j, 9, None) for j in range(40)]
+    cats = spark.createDataFrame(
+        rows + rows[:20] + [(1, None, "no code")],
+        "job_id int, category_code int, category_description string",
+    )
+    asks = [(j, f"P{j % k}") for j in range(60) for k in (2, 3, 5, 7)]
+    skills = spark.createDataFrame(asks, "job_id int, skill_code string")
+    special = spark.createDataFrame([(j, "S1") for j in range(30)], "job_id int, specialty_code string")
+    names = [(f"P{n}", f"skill {n % 4}") for n in range(7)] + [("S1", "skill 0"), ("P6", None)]
+    return cats, skills, special, spark.createDataFrame(names, "skill_code string, std_skill_name string")
+
+
+def test_weights_of_busy_categories_are_those_of_calm_ones(spark):
+    tables = _weight_tables(spark)
+    calm = gold.category_skill_weight(*tables)
+    cats, skills, special, options = (t.collect() for t in tables)
+    name = {}
+    for code, std in options:
+        name.setdefault(code, set()).update({std} - {None})
+    asked = {(j, s) for j, c in [*skills, *special] for s in name[c]}
+    pairs = {tuple(r) for r in cats if r[1] is not None}
+    want = []
+    for code, label in {(c, d) for _, c, d in pairs}:
+        jobs = {j for j, c, d in pairs if (c, d) == (code, label)}
+        for total in [len({j for j, c, d in pairs if (c, d) == (code, o)})
+                      for o in {d for _, c, d in pairs if c == code}]:
+            for std in {s for j, s in asked if j in jobs}:
+                n = len({j for j, s in asked if s == std and j in jobs})
+                want.append((code, label, std, round(n / total + 1e-9, 4)))
+    for weights in [calm, gold.category_skill_weight(*tables, busy_jobs=15)]:
+        got = [(r[0], r[1], r[2], float(r[3])) for r in weights.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_weights_are_shuffled_once_by_category(spark):
+    """What callers group by the category reads the weights without another shuffle."""
+    weights = gold.category_skill_weight(*_weight_tables(spark))
+    grouped = weights.groupBy("category_code").agg(F.sum("weight"))
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffles(grouped) == shuffles(weights)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_landing_deals_documents_by_their_own_size(spark, tmp_path):
+    """Few rows unfold to large documents; before, each input task wrote and sorted every day."""
+    rows = spark.range(400).selectExpr(
+        "id", "TIMESTAMP '2024-01-01' + make_dt_interval(CAST(id % 3 AS INT)) AS ingestion_timestamp"
+    )
+    tables.write_job_details(rows.repartition(4), f"{tmp_path}/landed")
+    landed = spark.read.parquet(f"{tmp_path}/landed")
+    assert sorted(r[0] for r in landed.select("id").collect()) == list(range(400))
+    assert landed.select("ingest_day").distinct().count() == 3
+    assert len(list((tmp_path / "landed").glob("*/*.parquet"))) == 3
