@@ -21,8 +21,14 @@ def pending_jobs(job_ids: DataFrame) -> DataFrame:
 
 
 def write_job_details(details: DataFrame, path: str) -> None:
-    """Append documents, one folder per ingest day so that a time window reads few files."""
+    """Append documents, one folder per ingest day so that a time window reads few files.
+
+    A task that writes several days sorts its documents by day first. They are whole postings,
+    far larger than the rows they may come from, so they are dealt anew by their own size: a
+    task then holds no more of them, however much one input split unfolds to.
+    """
     by_day = details.selectExpr("*", "to_date(ingestion_timestamp) AS ingest_day")
+    by_day = by_day.hint("rebalance", "ingest_day")
     by_day.write.mode("append").partitionBy("ingest_day").parquet(path)
 
 
