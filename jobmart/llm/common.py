@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmart.shared import materialize, new_path
+from jobmart.shared import estimated_bytes, materialize, new_path
 
 __all__ = ["estimated_bytes", "folded", "materialize", "new_path", "part_count", "ready"]
 
@@ -34,11 +34,6 @@ def ready(spark: SparkSession) -> None:
     context._jobmart_shipped = True
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def part_count(df: DataFrame, target_mb: int = 64) -> int:
     """How many partitions of about ``target_mb`` the estimate asks for; the session's setting
     is the least."""

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmart.shared import new_path
+from jobmart.shared import new_path, with_room
 from jobmart.sources.tables import read_job_details, write_job_details
 
 JOB_URL = "https://jobs.example/job/"
@@ -70,7 +70,7 @@ class Views:
         self.folder = folder
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return with_room(self.spark.read.parquet(f"{self.folder}/{table}.parquet"))
 
     @cached_property
     def company(self) -> DataFrame:
@@ -126,7 +126,7 @@ class Views:
             path = new_path(self.spark, "bronze")
             write_job_details(self.documents, path)
             _landed[landing] = path
-        return read_job_details(self.spark, _landed[landing], "parquet")
+        return with_room(read_job_details(self.spark, _landed[landing], "parquet"))
 
     @cached_property
     def documents(self) -> DataFrame:

@@ -1,7 +1,10 @@
 """Rows that odd names and larger tables showed to be lost, and plans that must stay bounded."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from jobmart import shared
 from jobmart.checks import all_queries
 from jobmart.plans import gold
 from jobmart.sources import tables
@@ -77,3 +80,17 @@ def test_landing_deals_documents_by_their_own_size(spark, tmp_path):
     assert sorted(r[0] for r in landed.select("id").collect()) == list(range(400))
     assert landed.select("ingest_day").distinct().count() == 3
     assert len(list((tmp_path / "landed").glob("*/*.parquet"))) == 3
+
+
+def test_shuffle_partitions_follow_the_tables(spark, data, monkeypatch):
+    """Before, every task took an eighth of the table, however large it was."""
+    monkeypatch.setattr(shared, "PARTITION_BYTES", 1024)
+    keys = ["coalescePartitions.initialPartitionNum", "advisoryPartitionSizeInBytes"]
+    try:
+        for name in ["category_ratio", "category_ratio_active", "refresh_ratio", "new_names"]:
+            plan = all_queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+            parts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)]
+            assert parts and min(parts) > 8
+    finally:
+        for key in keys:
+            spark.conf.unset(f"spark.sql.adaptive.{key}")
