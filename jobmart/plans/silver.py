@@ -219,21 +219,22 @@ def match_condition(
     """Distinct (job_id, code, name) of reference names listed or mentioned in a posting.
     Documents without ``condition`` are left out, with their description."""
     listed = F.transform(_condition_array(bronze, field), lambda x: x["description"])
+    columns = {"other": "condition.other", "description": "jobDetail.jobDescription"}
     docs = active_documents(bronze, as_of).where("condition IS NOT NULL").select(
-        *DOC_KEY,
         _job_id().alias("job_id"),
         listed.alias("listed"),
-        F.col("condition.other").alias("other"),
-        F.col("jobDetail.jobDescription").alias("description"),
-    )
-    found = match_terms(
-        docs.where("job_id IS NOT NULL"),
-        names,
-        [*DOC_KEY, "job_id"],
-        ["other", "description"],
-        listed="listed",
-    )
-    return found.select("job_id", "code", "name").distinct()
+        *[F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in columns.items()],
+    ).where("job_id IS NOT NULL")
+    # Snapshots and postings repeat their texts: each text is searched once, and what it holds
+    # goes to the jobs that have it.
+    text_key = F.concat(*[F.unhex(F.sha2(F.col(name), 256)) for name in columns]).alias("text_key")
+    texts = docs.select(*columns).distinct().select(text_key, *columns)
+    found = match_terms(texts, names, ["text_key"], list(columns))
+    mentioned = docs.select("job_id", text_key).distinct().join(found, "text_key")
+    rows = docs.select("job_id", F.explode("listed").alias("name")).distinct()
+    by_name = rows.join(names.select("code", "name"), "name")
+    key = ["job_id", "code", "name"]
+    return mentioned.select(key).unionByName(by_name.select(key)).distinct()
 
 
 def silver_job_skill(

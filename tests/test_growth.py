@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from jobmart import shared
 from jobmart.checks import all_queries
-from jobmart.plans import gold
+from jobmart.operators import matching
+from jobmart.plans import gold, silver
 from jobmart.sources import tables
 
 
@@ -94,3 +95,28 @@ def test_shuffle_partitions_follow_the_tables(spark, data, monkeypatch):
     finally:
         for key in keys:
             spark.conf.unset(f"spark.sql.adaptive.{key}")
+
+
+def test_a_repeated_text_is_searched_once(spark, monkeypatch):
+    """Before, the texts of every snapshot were searched; what each posting holds stays."""
+    seen = []
+
+    def spied(docs, *args, **kwargs):
+        seen.append(docs.count())
+        return matching.match_terms(docs, *args, **kwargs)
+
+    monkeypatch.setattr(silver, "match_terms", spied)
+    rows = [(f"u{i % 5}", i, [None, "knows c++"][i % 2], "uses SQL daily", i % 3) for i in range(30)]
+    raw = spark.createDataFrame(rows, "job string, i int, other string, text string, k int")
+    docs = raw.selectExpr(
+        "'on' AS switch", "TIMESTAMP '2024-01-01' AS ingestion_timestamp",
+        "named_struct('analysisUrl', concat('x/', job)) AS header",
+        "named_struct('jobDescription', text) AS jobDetail",
+        "named_struct('other', other, 'skill', array(named_struct('code', 'c', 'description',"
+        " IF(k = 0, 'Go', CAST(NULL AS STRING))))) AS condition",
+    )
+    names = [("1", "C++"), ("2", "SQL"), ("3", "Go"), ("4", "Rust")]
+    refs = spark.createDataFrame(names, "code string, name string")
+    got = {tuple(r) for r in silver.match_condition(docs, refs, "skill").collect()}
+    assert seen == [2]
+    assert got == {(f"u{j}", c, n) for j in range(5) for c, n in names[:3]}
