@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from jobmart.operators.numbering import number_rows
 
-#: Rows of a stored block; a page reads the one or two blocks it lies in.
+#: Rows of a stored block; a page reads the one or two blocks it lies in. Smaller blocks share a
+#: folder of about as many rows.
 BLOCK_ROWS = 100_000
 
 
@@ -35,13 +36,20 @@ def page_of(df: DataFrame, order: Sequence[Column], page: int, per_page: int) ->
 def store_pages(
     df: DataFrame, order: Sequence[Column], path: str, block_rows: int = BLOCK_ROWS
 ) -> None:
-    """Store ``df`` with ``row_no`` in ``order``, a total order, cut into folders of
-    ``block_rows`` consecutive rows."""
+    """Store ``df`` with ``row_no`` in ``order``, a total order, cut into blocks of
+    ``block_rows`` consecutive rows.
+
+    A folder holds whole blocks of at least ``BLOCK_ROWS`` rows together, sorted by ``row_no``,
+    so small blocks do not make a folder each. Inside its file a block is a page of its own,
+    which readers find by the index of ``row_no``.
+    """
+    folder_rows = block_rows * -(-BLOCK_ROWS // block_rows)
     numbered = number_rows(df, order, "row_no")
-    block = F.floor((F.col("row_no") - 1) / block_rows).cast("long")
-    placed = numbered.withColumn("block", block)
-    placed.repartition("block").write.partitionBy("block").parquet(path)
-    size = df.sparkSession.createDataFrame([(block_rows,)], "block_rows long")
+    block = F.floor((F.col("row_no") - 1) / folder_rows).cast("long")
+    placed = numbered.withColumn("block", block).repartition("block")
+    writer = placed.sortWithinPartitions("block", "row_no").write.partitionBy("block")
+    writer.option("parquet.page.row.count.limit", block_rows).parquet(path)
+    size = df.sparkSession.createDataFrame([(folder_rows,)], "block_rows long")
     size.write.parquet(f"{path}/_size")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobmart import shared
 from jobmart.checks import all_queries
-from jobmart.operators import matching
+from jobmart.operators import matching, paging
 from jobmart.plans import gold, silver
 from jobmart.sources import tables
 
@@ -120,3 +120,15 @@ def test_a_repeated_text_is_searched_once(spark, monkeypatch):
     got = {tuple(r) for r in silver.match_condition(docs, refs, "skill").collect()}
     assert seen == [2]
     assert got == {(f"u{j}", c, n) for j in range(5) for c, n in names[:3]}
+
+
+def test_small_blocks_share_a_folder(spark, tmp_path, monkeypatch):
+    """Before, 64 rows made a folder; now a folder has as many blocks as fit, and every page is
+    whole wherever it lies."""
+    monkeypatch.setattr(paging, "BLOCK_ROWS", 1000)
+    rows = spark.range(2500).selectExpr("id", "repeat('x', CAST(id % 9 AS INT)) AS text")
+    paging.store_pages(rows, [F.col("id").desc()], f"{tmp_path}/pages", block_rows=64)
+    assert len(list((tmp_path / "pages").glob("block=*"))) == 3
+    for page in (1, 2, 52, 53, 125, 126):
+        got = [r["id"] for r in paging.read_page(spark, f"{tmp_path}/pages", page, 20).collect()]
+        assert got == list(range(2500 - 20 * (page - 1) - 1, max(-1, 2500 - 20 * page - 1), -1))
