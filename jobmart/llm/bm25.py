@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -35,7 +34,7 @@ SHARD_PAIRS = 4_000_000
 #: Bytes of text whose words are counted at once.
 PIECE = 1 << 20
 BLOCK = 64
-QUERY_BLOCK = 8_192
+QUERY_BLOCK = 4_096
 BATCH = 64
 #: Documents whose dense weights are copied out at once.
 COLUMNS = 2_048
@@ -45,7 +44,10 @@ INDEX = (
     "shard long, n_docs int, n_words long, doc_ids binary, lengths binary, terms binary,"
     " starts binary, postings binary, counts binary"
 )
+INDEX_COLUMNS = [c.split()[0] for c in INDEX.split(",")]
 BUFFER = 1 << 18
+#: Postings whose weights are worked out at once.
+POSTINGS = 1 << 18
 
 _random = np.random.default_rng(20_250_103)
 _letters = _random.integers(0, 2**64, 256, np.uint64)
@@ -135,6 +137,31 @@ def index_row(
     }
 
 
+def packed(row: dict) -> dict:
+    """An index row as it is stored: steps between postings and counts, low bytes first, with
+    zstd. Rows travel through the JVM, and counts, mostly 1, are the larger part of them."""
+    steps = np.diff(np.frombuffer(row["postings"], "<u2"), prepend=np.uint16(0))
+    planes = {"postings": steps.astype("<u2"), "counts": np.frombuffer(row["counts"], "<u4")}
+    small = {}
+    for name, values in planes.items():
+        split = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+        small[name] = pa.compress(split, "zstd", asbytes=True)
+    return row | small
+
+
+def unpacked(row: dict) -> dict:
+    """The index row of a stored one."""
+    n = int(np.frombuffer(row["starts"], "<u4")[-1])
+
+    def plain(name: str, kind: str) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        split = np.frombuffer(pa.decompress(row[name], n * width, "zstd"), np.uint8)
+        return np.ascontiguousarray(split.reshape(width, n).T).view(kind).ravel()
+
+    postings = np.cumsum(plain("postings", "<u2"), dtype=np.uint16)
+    return row | {"postings": postings, "counts": plain("counts", "<u4")}
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """Index rows over all ``docs`` (``doc_id``, ``text``; others are ignored). A null text is
     empty; rows without a doc_id cannot be named as results and are left out."""
@@ -163,7 +190,8 @@ def build_index(docs: DataFrame) -> DataFrame:
             counts = np.concatenate([x[3] for x in held])
             held.clear()
             pa.default_memory_pool().release_unused()
-            return pa.RecordBatch.from_pylist([index_row(shard, ids, doc, names, counts)], schema)
+            row = index_row(shard, ids, doc, names, counts)
+            return pa.RecordBatch.from_pylist([packed(row)], schema)
 
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1)
@@ -237,9 +265,10 @@ class Shard:
         times = np.frombuffer(row["counts"], "<u4")
         lengths = np.frombuffer(row["lengths"], "<u4")
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        weight = norm[docs]
-        weight += times
-        np.divide(times * (K1 + 1), weight, out=weight)
+        weight = np.empty(len(docs))
+        for at in range(0, len(docs), POSTINGS):
+            some = slice(at, at + POSTINGS)
+            np.divide(times[some] * (K1 + 1), norm[docs[some]] + times[some], out=weight[some])
         self.blocks = (n + BLOCK - 1) // BLOCK
         many = np.flatnonzero(np.diff(starts) * 4 > n)
         self.row_of = np.full(len(self.terms) + 1, -1, np.int64)
@@ -364,33 +393,55 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     left = index.withColumn("query_part", numbers).groupBy("shard", "query_part")
     right = dealt.join(pairs, "part").groupBy("to", "part")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
-        for row in left.to_dict("records"):
-            shard = Shard(row, mean_length)
-            found = []
-            columns = (right["query_id"], right["terms"], right["weights"])
-            for query_id, terms, weights in zip(*columns, strict=True):
-                names = np.asarray(terms, np.int64).view(np.uint64)
-                order = np.argsort(names)
-                found.append((query_id, names[order], np.asarray(weights)[order]))
+        # Terms and weights stay where Arrow has them; only those of one batch are sorted.
+        queries = []
+        for part in right.to_batches():
+            terms, weights = part.column("terms"), part.column("weights")
+            names, w = _values(terms).view(np.uint64), _values(weights)
+            spans = zip(_spans(terms), _spans(weights), strict=True)
+            for query_id, (x, y) in zip(part.column("query_id").to_pylist(), spans, strict=True):
+                queries.append((query_id, names[x], w[y]))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(left.num_rows):
+            row = {c: _held(left.column(c)[i]) for c in INDEX_COLUMNS}
+            shard = Shard(unpacked(row), mean_length)
             # Queries that prune alike, those with the same common words, go together.
-            found.sort(key=lambda q: (*_commonest(shard, q[1]), q[0]))
-            for at in range(0, len(found), BATCH):
-                for query_id, doc_ids, scores in shard.search(found[at : at + BATCH], k):
-                    out.append(
-                        pd.DataFrame({"query_id": query_id, "doc_id": doc_ids, "score": scores})
-                    )
-        empty = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return pd.concat(out) if out else empty.astype({"query_id": "int64", "doc_id": "int64"})
-
-    best = left.cogroup(right).applyInPandas(run, "query_id long, doc_id long, score double")
+            order = sorted((*_commonest(shard, q[1]), q[0], n) for n, q in enumerate(queries))
+            for at in range(0, len(order), BATCH):
+                some = [queries[n] for *_, n in order[at : at + BATCH]]
+                for query_id, doc_ids, scores in shard.search([_in_order(q) for q in some], k):
+                    out.append((np.full(len(doc_ids), query_id, np.int64), doc_ids, scores))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table(columns, names=["query_id", "doc_id", "score"])
+
+    best = left.cogroup(right).applyInArrow(run, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", "score")
 
 
+def _held(value: pa.Scalar):
+    """A binary value where Arrow has it, any other as Python's."""
+    return value.as_buffer() if pa.types.is_binary(value.type) else value.as_py()
+
+
+def _values(lists: pa.ListArray) -> np.ndarray:
+    return lists.values.to_numpy(zero_copy_only=False)
+
+
+def _spans(lists: pa.ListArray) -> list[slice]:
+    ends = lists.offsets.to_pylist()
+    return [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _in_order(query: tuple) -> tuple:
+    """(query, terms, weights) with its terms in order, in which weights are added up."""
+    order = np.argsort(query[1])
+    return query[0], query[1][order], query[2][order]
+
+
 def _commonest(shard: Shard, terms: np.ndarray) -> tuple[int]:
     """The number of the query's most frequent dense term in this shard."""
     t = np.searchsorted(shard.terms, terms)

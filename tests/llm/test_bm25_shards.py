@@ -61,3 +61,31 @@ def test_sparse_postings_are_skipped_and_the_best_are_exact():
         best = best[want[best] > 0]
         assert ids.tolist() == best.tolist() and np.allclose(scores, want[best])
     assert 0 < shard.postings_read < shard.postings
+
+
+def test_a_shard_takes_its_weights_in_pieces(monkeypatch):
+    """Weights and postings of a shard take little more than their own size."""
+    given = [t.encode() for _, t in texts(3000)]
+    doc, names, counts = bm25.counted_pairs(given)
+    row = bm25.index_row(0, np.arange(len(given)), doc, names, counts)
+    whole = bm25.Shard(row, 60.0).weight
+    monkeypatch.setattr(bm25, "POSTINGS", 1000)
+    assert (bm25.Shard(row, 60.0).weight == whole).all()
+
+
+def test_searching_copies_no_query_vectors(spark):
+    """Before, every group was turned into pandas rows and sorted copies of all its vectors."""
+    docs = spark.createDataFrame([*texts(200)], "doc_id long, text string")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    plan = bm25.top_k(bm25.build_index(docs), asked)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "InPandas" not in plan
+
+
+def test_stored_rows_are_small_and_give_the_index_back():
+    for given in ([t.encode() for _, t in texts(3000)], [b""]):
+        doc, names, counts = bm25.counted_pairs(given)
+        row = bm25.index_row(0, np.arange(len(given)), doc, names, counts)
+        stored = bm25.packed(row)
+        for name in ("postings", "counts"):
+            assert len(names) == 0 or len(stored[name]) < len(row[name])
+            assert bm25.unpacked(stored)[name].tobytes() == row[name]
