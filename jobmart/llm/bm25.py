@@ -5,18 +5,27 @@ documents and ``SHARD_PAIRS`` distinct words of documents: terms in order, their
 by their most frequent term, which puts those of one language side by side, and by length, so
 that the maxima of blocks of ``BLOCK`` documents are tight.
 
-A shard and a bounded block of queries meet in one task. As in block-max WAND, the sum over a
-query's terms of their greatest weight in a block bounds every score of the block. The blocks
-with the highest bounds are scored first; then only blocks whose bound reaches the k-th best
-score so far are scored, so nothing that belongs to the top k is skipped. Terms that occur in
-over a quarter of a shard are held as dense rows and scored for a batch of queries at once.
+The index is read in at most ``GROUPS`` groups of shards, whatever its size, and each meets
+each bounded block of queries in one task, without a shuffle: a task takes its shards one after
+the other and keeps the best k of each query so far, so it gives k rows a query at most. As in
+block-max WAND, the sum over a query's terms of their greatest weight in a block bounds every
+score of the block, and only blocks whose bound reaches the k-th best score so far are scored,
+so nothing that belongs to the top k is skipped.
+
+Queries of few words have blocks of ``BLOCK`` documents, whose postings are read only if the
+block is scored, those with the highest bounds first. A query of more than ``FEW`` words prunes
+little: bounds of such small blocks cost it as much as the scores. It has blocks of ``WIDE``
+documents. Terms that occur in over a tenth of a shard are held as dense rows and scored for a
+batch of queries at once, for long queries with 32 bits; whatever comes within the error of
+the k-th best is scored again with 64 bits.
 Collection size, mean length and document frequencies are those of all shards, which makes
-scores comparable, and the shards' best are merged into the exact overall best.
+scores comparable, and the groups' best are merged into the exact overall best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +42,13 @@ SHARD_DOCS = 16_384
 SHARD_PAIRS = 4_000_000
 #: Bytes of text whose words are counted at once.
 PIECE = 1 << 20
-BLOCK = 64
+BLOCK, WIDE = 64, 1_024
+#: Words outside of the dense rows up to which a query has small blocks.
+FEW = 32
+#: Postings from which on a term's are copied as one run.
+RUN = 128
+#: Groups of shards, each of which gives every query k rows at most.
+GROUPS = 8
 QUERY_BLOCK = 4_096
 BATCH = 64
 #: Documents whose dense weights are copied out at once.
@@ -45,6 +60,7 @@ INDEX = (
     " starts binary, postings binary, counts binary"
 )
 INDEX_COLUMNS = [c.split()[0] for c in INDEX.split(",")]
+BLOCK_COLUMNS = ["ids", "bounds", "words", "word", "weights"]
 BUFFER = 1 << 18
 #: Postings whose weights are worked out at once.
 POSTINGS = 1 << 18
@@ -230,11 +246,10 @@ def frequencies(index: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times) for rows (query_id, text); rows of one query_id count together."""
+    """(query_id, terms, times): the distinct words of each row (query_id, text), in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             owner, names = term_names(batch.column(1).to_pylist())
             order = np.lexsort((names, owner))
             owner, names = owner[order], names[order]
@@ -242,17 +257,130 @@ def query_terms(queries: DataFrame) -> DataFrame:
             fresh[1:] = (owner[1:] != owner[:-1]) | (names[1:] != names[:-1])
             at = np.flatnonzero(fresh)
             times = np.diff(np.append(at, len(owner)))
+            starts = np.searchsorted(owner[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(starts), pa.array(x))
+                for x in (names[at].view(np.int64), times)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner[at]]), pa.array(names[at].view(np.int64)), pa.array(times)],
-                names=["query_id", "term", "times"],
+                [batch.column(0), *lists], names=["query_id", "terms", "times"]
             )
 
     rows = queries.where(F.col("query_id").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    found = rows.mapInArrow(run, "query_id long, term long, times long")
-    return found.groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+    return rows.mapInArrow(run, "query_id long, terms array<long>, times array<long>")
+
+
+def query_blocks(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row for each ``part`` of ``queries`` (part, query_id, terms, times): its queries'
+    terms as numbers of the block's terms and their weights. Rows of one query_id count
+    together; terms without a row (to, term, idf) in ``weights``, ``to`` being the part, do
+    not occur."""
+
+    def pack(left: pa.Table, right: pa.Table) -> pa.Table:
+        terms = right.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        terms, idf = terms[order], right.column("idf").to_numpy()[order]
+        given = left.column("query_id").to_numpy()
+        lists = left.column("terms").combine_chunks()
+        names = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        times = left.column("times").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ids, owner = np.unique(given, return_inverse=True)
+        owner = np.repeat(owner, lists.value_lengths().to_numpy(zero_copy_only=False))
+        term = np.searchsorted(terms, names)
+        known = term < len(terms)
+        known[known] = terms[term[known]] == names[known]
+        owner, term, times = owner[known], term[known], times[known]
+        order = np.lexsort((term, owner))
+        owner, term, times = owner[order], term[order], times[order]
+        fresh = np.ones(len(owner), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])
+        at = np.flatnonzero(fresh)
+        times = np.add.reduceat(times, at) if len(at) else times
+        owner, term = owner[at], term[at]
+        columns = [
+            ids.astype("<i8"), np.searchsorted(owner, np.arange(len(ids) + 1)).astype("<i8"),
+            terms.astype("<u8"), term.astype("<u4"), (idf[term] * times).astype("<f8"),
+        ]
+        part = left.column("part")[:1].combine_chunks()
+        return pa.table(
+            [part, *[pa.array([c.tobytes()], pa.binary()) for c in columns]],
+            names=["part", *BLOCK_COLUMNS],
+        )
+
+    kinds = ", ".join(f"{c} binary" for c in BLOCK_COLUMNS)
+    return queries.groupBy("part").cogroup(weights.groupBy("to")).applyInArrow(
+        pack, f"part int, {kinds}"
+    )
+
+
+class QueryBlock:
+    """A row of :func:`query_blocks`, and the best k results of each of its queries so far."""
+
+    def __init__(self, row: dict, k: int):
+        kinds = zip(BLOCK_COLUMNS, ("<i8", "<i8", "<u8", "<u4", "<f8"), strict=True)
+        plain = {c: np.frombuffer(row[c], kind).copy() for c, kind in kinds}
+        self.ids, self.starts, self.terms, self.term, self.weight = plain.values()
+        self.k, self.order = k, None
+        self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(self.ids)
+        #: The score that a further result has to reach.
+        self.floor = np.zeros(len(self.ids))
+
+    def meet(self, shard: Shard) -> None:
+        number = shard.numbers(self.terms)[self.term]
+        queries = []
+        for q, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+            t, w = number[a:b], self.weight[a:b]
+            known = t >= 0
+            queries.append((q, t[known], w[known]))
+        if self.order is None:
+            # Queries that prune alike, those with the same common words, go together.
+            common = [shard.commonest(t) for _, t, _ in queries]
+            self.order = sorted(range(len(queries)), key=lambda q: (common[q], self.ids[q]))
+        for at in range(0, len(queries), BATCH):
+            some = self.order[at : at + BATCH]
+            for q, ids, scores in shard.best([queries[q] for q in some], self.k, self.floor[some]):
+                if not len(ids):
+                    continue
+                ids = np.concatenate([self.found[q][0], ids])
+                scores = np.concatenate([self.found[q][1], scores])
+                first = np.lexsort((ids, -scores))[: self.k]
+                self.found[q] = ids[first], scores[first]
+                if len(first) == self.k:
+                    self.floor[q] = scores[first[-1]]
+
+    def rows(self) -> pa.RecordBatch:
+        sizes = [len(ids) for ids, _ in self.found]
+        ids, scores = (np.concatenate([x[0], *c]) for x, c in zip(
+            ((np.zeros(0, np.int64),), (np.zeros(0),)),
+            ([f[0] for f in self.found], [f[1] for f in self.found]), strict=True,
+        ))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.ids, sizes)), pa.array(ids), pa.array(scores)],
+            names=["query_id", "doc_id", "score"],
+        )
+
+
+class Maxima:
+    """The greatest weight of each term in each block of ``size`` documents it occurs in."""
+
+    def __init__(self, shard: Shard, size: int):
+        self.blocks = -(-shard.n // size)
+        term = np.repeat(np.arange(len(shard.terms), dtype=np.uint32), np.diff(shard.starts))
+        block = shard.docs // np.uint16(size)
+        fresh = np.ones(len(block), bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(fresh)
+        self.top = np.maximum.reduceat(shard.weight, at) if len(at) else shard.weight
+        self.block = block[at]
+        self.starts = np.searchsorted(term[at], np.arange(len(shard.terms) + 1))
+        #: Where the postings of each of these (term, block) entries start.
+        self.entries = np.append(at, len(block))
+        begins = np.arange(0, shard.dense.shape[1], size)
+        self.dense = np.maximum.reduceat(shard.dense, begins, axis=1) if len(begins) else (
+            np.zeros((len(shard.dense), 0)))
 
 
 class Shard:
@@ -270,7 +398,7 @@ class Shard:
             some = slice(at, at + POSTINGS)
             np.divide(times[some] * (K1 + 1), norm[docs[some]] + times[some], out=weight[some])
         self.blocks = (n + BLOCK - 1) // BLOCK
-        many = np.flatnonzero(np.diff(starts) * 4 > n)
+        many = np.flatnonzero(np.diff(starts) * 10 > n)
         self.row_of = np.full(len(self.terms) + 1, -1, np.int64)
         self.row_of[many] = np.arange(len(many))
         self.dense = np.zeros((len(many), self.blocks * BLOCK))
@@ -278,22 +406,35 @@ class Shard:
             at = slice(starts[t], starts[t + 1])
             self.dense[r, docs[at]] = weight[at]
         self.often = (self.dense > 0).sum(axis=1)
-        self.dense_max = self.dense.reshape(len(many), self.blocks, BLOCK).max(axis=2)
         self.starts, self.docs, self.weight = starts, docs, weight
-        # Greatest weight of a term in each block that it occurs in.
-        term = np.repeat(np.arange(len(self.terms), dtype=np.uint32), np.diff(starts))
-        block = docs // BLOCK
-        fresh = np.ones(len(docs), bool)
-        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(fresh)
-        self.top = np.maximum.reduceat(weight, at) if len(at) else weight
-        self.top_block = block[at]
-        self.top_starts = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
-        # Where the postings of each of these (term, block) entries start.
-        self.entry_starts = np.append(at, len(docs))
         #: Postings of sparse terms that queries have, and how many of them were read.
         self.postings = self.postings_read = 0
 
+    @cached_property
+    def dense32(self) -> np.ndarray:
+        return self.dense.astype(np.float32)
+
+    @cached_property
+    def small(self) -> Maxima:
+        return Maxima(self, BLOCK)
+
+    @cached_property
+    def wide(self) -> Maxima:
+        return Maxima(self, WIDE)
+
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """The shard's numbers of ``terms``, -1 for those that it does not have."""
+        t = np.searchsorted(self.terms, terms)
+        t[t == len(self.terms)] = -1
+        t[t >= 0] = np.where(self.terms[t[t >= 0]] == terms[t >= 0], t[t >= 0], -1)
+        return t
+
+    def commonest(self, t: np.ndarray) -> int:
+        """The most frequent dense row of terms ``t``."""
+        rows = self.row_of[t]
+        rows = rows[rows >= 0]
+        return int(rows[np.argmax(self.often[rows])]) if len(rows) else -1
+
     @staticmethod
     def _ranges(starts: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the entries of terms ``t``, and which of ``t`` each belongs to."""
@@ -301,25 +442,100 @@ class Shard:
         which = np.repeat(np.arange(len(t)), count)
         return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which], which
 
+    def _added(self, low: np.ndarray, high: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums over the postings from ``low`` to ``high`` of terms of weights ``w``, for each
+        document. Long runs are copied as they lie, short ones by their places."""
+        count = high - low
+        short = count < RUN
+        few = count[short]
+        at = np.repeat(low[short] - (np.cumsum(few) - few), few)
+        at += np.arange(len(at))
+        runs = [slice(a, b) for a, b in zip(low[~short].tolist(), high[~short].tolist(), strict=True)]
+        docs = np.concatenate([self.docs[at], *[self.docs[x] for x in runs]])
+        part = np.concatenate([self.weight[at], *[self.weight[x] for x in runs]])
+        part *= np.concatenate([np.repeat(w[short], few), np.repeat(w[~short], count[~short])])
+        return np.bincount(docs, part, self.dense.shape[1])
+
     def search(self, queries: list[tuple], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, doc_ids, scores) of the best k of this shard for (query, terms, weights)."""
+        known = []
+        for query, terms, weights in queries:
+            t = self.numbers(terms)
+            known.append((query, t[t >= 0], weights[t >= 0]))
+        yield from self.best(known, k, np.zeros(len(known)))
+
+    def best(
+        self, queries: list[tuple], k: int, floor: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same for terms by their numbers, without what is below each query's ``floor``."""
+        few = np.array([(self.row_of[t] < 0).sum() <= FEW for _, t, _ in queries], bool)
+        for some, way in ((few, self._few), (~few, self._many)):
+            if some.any():
+                chosen = [q for q, yes in zip(queries, some, strict=True) if yes]
+                yield from way(chosen, k, floor[some])
+
+    def _many(self, queries: list[tuple], k: int, floor: np.ndarray):
+        """Queries of many words: wide blocks, dense rows with 32 bits, then the best again."""
+        wide, size = self.wide, len(self.dense)
+        common = np.zeros((len(queries), size))
+        bound = np.zeros((len(queries), wide.blocks))
+        sparse = []
+        for i, (_, t, w) in enumerate(queries):
+            row = self.row_of[t]
+            common[i, row[row >= 0]] = w[row >= 0]
+            t, w = t[row < 0], w[row < 0]
+            at, which = self._ranges(wide.starts, t)
+            bound[i] = np.bincount(wide.block[at], wide.top[at] * w[which], wide.blocks)
+            sparse.append((self.starts[t], self.starts[t + 1], w))
+        bound += common @ wide.dense
+        wanted = (bound + 10.0**-DIGITS >= floor[:, None]) & (bound > 0)
+        rows = np.flatnonzero(common.any(axis=0))
+        dense, weights = self.dense32[rows], common[:, rows].astype(np.float32)
+        found = np.full((len(queries), self.dense.shape[1]), -1.0, np.float32)
+        for block in np.flatnonzero(wanted.any(axis=0)):
+            at = slice(block * WIDE, (block + 1) * WIDE)
+            found[:, at] = weights @ dense[:, at]
+        # What sums of 32 bits may be off by, as a share.
+        slack = 4 * (size + 8) * 2.0**-24
+        for i, (query, _, _) in enumerate(queries):
+            low, high, w = sparse[i]
+            self.postings += int((high - low).sum())
+            if not wanted[i].any():
+                continue
+            self.postings_read += int((high - low).sum())
+            part = self._added(low, high, w)
+            total = part + found[i]
+            if not wanted[i].all():
+                total[np.repeat(~wanted[i], WIDE)[: len(total)]] = -1
+            # k blocks have a document each that reaches the k-th best of their maxima
+            limit, tops = floor[i], total.reshape(-1, BLOCK).max(axis=1)
+            if len(tops) >= k:
+                limit = max(limit, np.partition(tops, len(tops) - k)[len(tops) - k])
+            at = np.flatnonzero((total >= limit * (1 - slack) - 2 * 10.0**-DIGITS) & (total > 0))
+            mine = np.flatnonzero(common[i])
+            scores = part[at] + common[i, mine] @ self.dense[np.ix_(mine, at)]
+            scores = np.round(scores, DIGITS)
+            at, scores = at[scores > 0], scores[scores > 0]
+            first = np.lexsort((self.doc_ids[at], -scores))[:k]
+            yield query, self.doc_ids[at[first]], scores[first]
+
+    def _few(self, queries: list[tuple], k: int, floor: np.ndarray):
+        """Queries of few words: small blocks, those with the highest bounds first."""
+        small = self.small
         size = self.blocks * BLOCK
         common = np.zeros((len(queries), len(self.dense)))
         bound = np.zeros((len(queries), self.blocks))
         entries = []
-        for i, (_, terms, weights) in enumerate(queries):
-            t = np.searchsorted(self.terms, terms)
-            known = t < len(self.terms)
-            known[known] = self.terms[t[known]] == terms[known]
-            t, w = t[known], weights[known]
+        for i, (_, t, w) in enumerate(queries):
             row = self.row_of[t]
             common[i, row[row >= 0]] = w[row >= 0]
             t, w = t[row < 0], w[row < 0]
-            at, which = self._ranges(self.top_starts, t)
-            bound[i] = np.bincount(self.top_block[at], self.top[at] * w[which], self.blocks)
+            at, which = self._ranges(small.starts, t)
+            bound[i] = np.bincount(small.block[at], small.top[at] * w[which], self.blocks)
             entries.append((at, w[which]))
             self.postings += int((self.starts[t + 1] - self.starts[t]).sum())
-        bound += common @ self.dense_max
+        bound += common @ small.dense
+        rows = np.flatnonzero(common.any(axis=0))
         scores = np.full((len(queries), self.blocks, BLOCK), -1.0)
 
         def score(wanted: np.ndarray) -> None:
@@ -329,14 +545,14 @@ class Shard:
             found = np.empty((len(queries), len(places)))
             for at in range(0, len(places), COLUMNS):
                 some = places[at : at + COLUMNS]
-                found[:, at : at + COLUMNS] = common @ self.dense[:, some]
+                found[:, at : at + COLUMNS] = common[:, rows] @ self.dense[np.ix_(rows, some)]
             found = found.reshape(len(queries), len(blocks), BLOCK)
             column = np.zeros(self.blocks, np.int64)
             column[blocks] = np.arange(len(blocks))
             for i, (at, w) in enumerate(entries):
-                mine = wanted[i, self.top_block[at]]
+                mine = wanted[i, small.block[at]]
                 at, w = at[mine], w[mine]
-                some, which = self._ranges(self.entry_starts, at)
+                some, which = self._ranges(small.entries, at)
                 self.postings_read += len(some)
                 docs = self.docs[some]
                 into = column[docs // BLOCK] * BLOCK + docs % BLOCK
@@ -353,6 +569,7 @@ class Shard:
         k = min(k, size)
         flat = scores.reshape(len(queries), size)
         kth = np.partition(flat, size - k, axis=1)[:, size - k]
+        kth = np.maximum(kth, floor)
         needed = (bound + 10.0**-DIGITS >= kth[:, None]) & (bound > 0) & ~done
         if needed.any():
             score(needed)
@@ -378,45 +595,33 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n, words = total["n"] or 0, total["words"] or 0
     mean_length = words / max(n, 1)
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = query_terms(queries).join(frequencies(index), "term")
-    pairs = F.collect_list(F.struct("term", (idf * F.col("times")).alias("w")))
-    vectors = weighted.groupBy("query_id").agg(pairs.alias("pairs"))
-    vectors = vectors.select(
-        "query_id", F.col("pairs.term").alias("terms"), F.col("pairs.w").alias("weights")
-    )
-    vectors = materialize(vectors, "query-vectors")
-    # Query blocks of a bounded size; each meets every shard once.
-    parts = max(1, -(-vectors.count() // QUERY_BLOCK))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    pairs = index.select(F.col("shard").alias("to"), numbers.alias("part"))
-    left = index.withColumn("query_part", numbers).groupBy("shard", "query_part")
-    right = dealt.join(pairs, "part").groupBy("to", "part")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
-        # Terms and weights stay where Arrow has them; only those of one batch are sorted.
-        queries = []
-        for part in right.to_batches():
-            terms, weights = part.column("terms"), part.column("weights")
-            names, w = _values(terms).view(np.uint64), _values(weights)
-            spans = zip(_spans(terms), _spans(weights), strict=True)
-            for query_id, (x, y) in zip(part.column("query_id").to_pylist(), spans, strict=True):
-                queries.append((query_id, names[x], w[y]))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i in range(left.num_rows):
-            row = {c: _held(left.column(c)[i]) for c in INDEX_COLUMNS}
-            shard = Shard(unpacked(row), mean_length)
-            # Queries that prune alike, those with the same common words, go together.
-            order = sorted((*_commonest(shard, q[1]), q[0], n) for n, q in enumerate(queries))
-            for at in range(0, len(order), BATCH):
-                some = [queries[n] for *_, n in order[at : at + BATCH]]
-                for query_id, doc_ids, scores in shard.search([_in_order(q) for q in some], k):
-                    out.append((np.full(len(doc_ids), query_id, np.int64), doc_ids, scores))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table(columns, names=["query_id", "doc_id", "score"])
-
-    best = left.cogroup(right).applyInArrow(run, "query_id long, doc_id long, score double")
+    asked = materialize(query_terms(queries), "query-terms")
+    # Query blocks of a bounded size; each meets every group of shards once.
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    wanted = asked.select(F.col("part").alias("to"), F.explode("terms").alias("term")).distinct()
+    weights = wanted.join(frequencies(index), "term").select("to", "term", idf.alias("idf"))
+    blocks = query_blocks(asked, weights)
+    groups = index.coalesce(GROUPS).hint("shuffle_replicate_nl")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, QueryBlock] = {}
+        shard = held = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: _held(batch.column(c)[i]) for c in [*INDEX_COLUMNS, "part"]}
+                if row["part"] not in met:
+                    block = {c: _held(batch.column(c)[i]) for c in BLOCK_COLUMNS}
+                    met[row["part"]] = QueryBlock(block, k)
+                if held != row["shard"]:
+                    shard, held = None, row["shard"]
+                    pa.default_memory_pool().release_unused()
+                    shard = Shard(unpacked(row), mean_length)
+                met[row["part"]].meet(shard)
+        for block in met.values():
+            yield block.rows()
+
+    best = groups.crossJoin(blocks).mapInArrow(run, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", "score")
@@ -425,29 +630,3 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def _held(value: pa.Scalar):
     """A binary value where Arrow has it, any other as Python's."""
     return value.as_buffer() if pa.types.is_binary(value.type) else value.as_py()
-
-
-def _values(lists: pa.ListArray) -> np.ndarray:
-    return lists.values.to_numpy(zero_copy_only=False)
-
-
-def _spans(lists: pa.ListArray) -> list[slice]:
-    ends = lists.offsets.to_pylist()
-    return [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def _in_order(query: tuple) -> tuple:
-    """(query, terms, weights) with its terms in order, in which weights are added up."""
-    order = np.argsort(query[1])
-    return query[0], query[1][order], query[2][order]
-
-
-def _commonest(shard: Shard, terms: np.ndarray) -> tuple[int]:
-    """The number of the query's most frequent dense term in this shard."""
-    t = np.searchsorted(shard.terms, terms)
-    t = t[t < len(shard.terms)]
-    rows = shard.row_of[t]
-    rows = rows[rows >= 0]
-    if not len(rows):
-        return (-1,)
-    return (int(rows[np.argmax(shard.often[rows])]),)

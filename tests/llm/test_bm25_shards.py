@@ -89,3 +89,58 @@ def test_stored_rows_are_small_and_give_the_index_back():
         for name in ("postings", "counts"):
             assert len(names) == 0 or len(stored[name]) < len(row[name])
             assert bm25.unpacked(stored)[name].tobytes() == row[name]
+
+
+def test_long_queries_meet_shard_after_shard_and_the_best_are_exact():
+    """Before, each shard gave every query k rows, and found them with bounds that pruned little."""
+    given = [(t + " " + " ".join(f"r{i % 700}y{j}" for j in range(40))).encode() for i, t in texts(3000)]
+    doc, names, counts = bm25.counted_pairs(given)
+    lengths = np.bincount(doc, counts, minlength=len(given))
+    mean = float(lengths.mean())
+    terms, df = np.unique(names, return_counts=True)
+    idf = np.log1p((len(given) - df + 0.5) / (df + 0.5))
+    asked = [*range(0, 3000, 60)]
+    mine = [np.flatnonzero(doc == q) for q in asked]
+    term = [np.sort(np.searchsorted(terms, names[at])) for at in mine]
+    weight = [idf[t] for t in term]
+    assert min(len(t) for t in term) > bm25.FEW
+    row = {
+        "ids": np.array(asked), "bounds": np.cumsum([0, *map(len, term)]), "words": terms,
+        "word": np.concatenate(term).astype(np.uint32), "weights": np.concatenate(weight),
+    }
+    block = bm25.QueryBlock({c: x.tobytes() for c, x in row.items()}, 10)
+    for at in range(0, len(given), 500):
+        some = (doc >= at) & (doc < at + 500)
+        ids = np.arange(at, at + 500)
+        shard = bm25.index_row(at, ids, doc[some] - np.uint16(at), names[some], counts[some])
+        block.meet(bm25.Shard(shard, mean))
+    found = block.rows().to_pandas()
+    assert found.groupby("query_id").size().max() == 10
+    norm = bm25.K1 * (1 - bm25.B + bm25.B * lengths / mean)
+    number = np.searchsorted(terms, names)
+    for q, t, w in zip(asked, term, weight, strict=True):
+        full = np.zeros(len(terms))
+        full[t] = w
+        want = np.bincount(doc, full[number] * counts * 2.2 / (counts + norm[doc]))
+        want = np.round(want, bm25.DIGITS)
+        best = np.lexsort((np.arange(len(want)), -want))[:10]
+        got = found[found.query_id == q]
+        assert got.doc_id.tolist() == best.tolist() and np.allclose(got.score, want[best])
+
+
+def test_the_index_is_not_shuffled(spark, monkeypatch):
+    """Before, each block of queries had a copy of the index sent, and each shard the queries."""
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 8)
+    docs = spark.createDataFrame([*texts(1000)], "doc_id long, text string")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    index = bm25.materialize(bm25.build_index(docs.repartition(12, "doc_id")), "bm25-index")
+    found = bm25.top_k(index, asked)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # what lies above the scan of the postings, up to the product
+    lines = [x for x in plan.splitlines() if "postings" in x or "Cartesian" in x or "Exchange" in x]
+    product = next(i for i, x in enumerate(lines) if "CartesianProduct" in x)
+    assert "FileScan" in lines[product + 1] and "postings" in lines[product + 1]
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 4096)
+    rows = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+    assert rows == [tuple(r) for r in bm25.top_k(index, asked).orderBy("query_id", "rank").collect()]
+    assert len(rows) == 200
