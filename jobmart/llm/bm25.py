@@ -12,12 +12,15 @@ block-max WAND, the sum over a query's terms of their greatest weight in a block
 score of the block, and only blocks whose bound reaches the k-th best score so far are scored,
 so nothing that belongs to the top k is skipped.
 
-Queries of few words have blocks of ``BLOCK`` documents, whose postings are read only if the
-block is scored, those with the highest bounds first. A query of more than ``FEW`` words prunes
-little: bounds of such small blocks cost it as much as the scores. It has blocks of ``WIDE``
-documents. Terms that occur in over a tenth of a shard are held as dense rows and scored for a
-batch of queries at once, for long queries with 32 bits; whatever comes within the error of
-the k-th best is scored again with 64 bits.
+A shard is searched in blocks of ``WIDE`` documents by batches of like queries. A query of more
+than ``FEW`` words prunes little: bounds of smaller blocks cost it as much as the scores. For
+queries of few words the postings are read only in those parts of ``BLOCK`` documents whose own
+bound reaches the k-th best score. A term that many queries of a batch share with many documents
+of a block becomes a row of a matrix, and one product with 32 bits scores it for all of them;
+which terms these are is decided for each batch and block by what both ways cost. The postings
+of all others are added up one by one, block by block in the order of terms, so that they are
+read from the processor's cache. Whatever comes within the error of the k-th best is scored
+again with 64 bits.
 Collection size, mean length and document frequencies are those of all shards, which makes
 scores comparable, and the groups' best are merged into the exact overall best.
 """
@@ -42,17 +45,16 @@ SHARD_DOCS = 16_384
 SHARD_PAIRS = 4_000_000
 #: Bytes of text whose words are counted at once.
 PIECE = 1 << 20
-BLOCK, WIDE = 64, 1_024
-#: Words outside of the dense rows up to which a query has small blocks.
-FEW = 32
-#: Postings from which on a term's are copied as one run.
-RUN = 128
+BLOCK, WIDE = 64, 2_048
+#: Words up to which a query has small blocks, without those in over 1 / ``OFTEN`` of a shard.
+FEW, OFTEN = 32, 10
+#: Products of a matrix that cost as much as adding up one posting.
+SPARE = 200
 #: Groups of shards, each of which gives every query k rows at most.
 GROUPS = 8
-QUERY_BLOCK = 4_096
-BATCH = 64
-#: Documents whose dense weights are copied out at once.
-COLUMNS = 2_048
+QUERY_BLOCK = 8_192
+#: Queries of a batch, and the sum of their numbers of words; one query alone may have more.
+BATCH, BATCH_TERMS = 256, 1 << 17
 #: Scores are compared after rounding, so that the order of additions decides nothing.
 DIGITS = 6
 INDEX = (
@@ -62,8 +64,10 @@ INDEX = (
 INDEX_COLUMNS = [c.split()[0] for c in INDEX.split(",")]
 BLOCK_COLUMNS = ["ids", "bounds", "words", "word", "weights"]
 BUFFER = 1 << 18
-#: Postings whose weights are worked out at once.
-POSTINGS = 1 << 18
+#: Postings whose weights are worked out, or that are added up, at once.
+POSTINGS = 1 << 16
+#: Cells of the matrices that are copied out at once to add up scores again.
+CELLS = 1 << 20
 
 _random = np.random.default_rng(20_250_103)
 _letters = _random.integers(0, 2**64, 256, np.uint64)
@@ -321,106 +325,138 @@ class QueryBlock:
 
     def __init__(self, row: dict, k: int):
         kinds = zip(BLOCK_COLUMNS, ("<i8", "<i8", "<u8", "<u4", "<f8"), strict=True)
-        plain = {c: np.frombuffer(row[c], kind).copy() for c, kind in kinds}
-        self.ids, self.starts, self.terms, self.term, self.weight = plain.values()
-        self.k, self.order = k, None
-        self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(self.ids)
-        #: The score that a further result has to reach.
-        self.floor = np.zeros(len(self.ids))
+        plain = [np.frombuffer(row[c], kind) for c, kind in kinds]
+        self.ids, self.starts, self.terms, self.term, self.weight = plain
+        self.ids, self.terms, self.k = self.ids.copy(), self.terms.copy(), k
+        #: Made of the other columns when the first shard is met.
+        self.batches: list[Batch] = []
 
     def meet(self, shard: Shard) -> None:
-        number = shard.numbers(self.terms)[self.term]
-        queries = []
+        number = shard.numbers(self.terms)
+        if not self.batches:
+            self._deal(shard, number)
+        for block in shard.blocks():
+            places = block.places(number)
+            for batch in self.batches:
+                block.add(batch, places)
+
+    def _deal(self, shard: Shard, number: np.ndarray) -> None:
+        """Queries that prune alike and share many words go together: of few words or more, with
+        the same most frequent word, of like length."""
+        kinds = np.zeros((3, len(self.ids)), np.int64)
         for q, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
-            t, w = number[a:b], self.weight[a:b]
-            known = t >= 0
-            queries.append((q, t[known], w[known]))
-        if self.order is None:
-            # Queries that prune alike, those with the same common words, go together.
-            common = [shard.commonest(t) for _, t, _ in queries]
-            self.order = sorted(range(len(queries)), key=lambda q: (common[q], self.ids[q]))
-        for at in range(0, len(queries), BATCH):
-            some = self.order[at : at + BATCH]
-            for q, ids, scores in shard.best([queries[q] for q in some], self.k, self.floor[some]):
-                if not len(ids):
-                    continue
-                ids = np.concatenate([self.found[q][0], ids])
-                scores = np.concatenate([self.found[q][1], scores])
-                first = np.lexsort((ids, -scores))[: self.k]
-                self.found[q] = ids[first], scores[first]
-                if len(first) == self.k:
-                    self.floor[q] = scores[first[-1]]
+            t = number[self.term[a:b]]
+            kinds[:, q] = b - a, *shard.kind(t[t >= 0])
+        order = np.lexsort(kinds)
+        long = kinds[2, order] > 0
+        for some, few in ((order[~long], True), (order[long], False)):
+            ends = np.cumsum(kinds[0, some])
+            first = 0
+            while first < len(some):
+                most = ends[first] - kinds[0, some[first]] + BATCH_TERMS
+                last = max(first + 1, int(np.searchsorted(ends, most, "right")))
+                mine = some[first : min(last, first + BATCH)]
+                at, owner = _ranges(self.starts, mine)
+                self.batches.append(Batch(mine, owner, self.term[at], self.weight[at], few, self.k))
+                first += len(mine)
+        del self.starts, self.term, self.weight
 
     def rows(self) -> pa.RecordBatch:
-        sizes = [len(ids) for ids, _ in self.found]
-        ids, scores = (np.concatenate([x[0], *c]) for x, c in zip(
-            ((np.zeros(0, np.int64),), (np.zeros(0),)),
-            ([f[0] for f in self.found], [f[1] for f in self.found]), strict=True,
-        ))
+        found = [(self.ids[b.queries], b.ids, b.scores) for b in self.batches]
+        ids, docs, scores = (
+            np.concatenate([np.zeros((0, *n), kind), *c])
+            for n, kind, c in zip(
+                ((), (self.k,), (self.k,)), ("<i8", "<i8", "<f8"),
+                zip(*found, strict=True) if found else [()] * 3, strict=True,
+            )
+        )
+        some = scores > 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, sizes)), pa.array(ids), pa.array(scores)],
+            [pa.array(c) for c in (np.repeat(ids, some.sum(axis=1)), docs[some], scores[some])],
             names=["query_id", "doc_id", "score"],
         )
 
 
-class Maxima:
-    """The greatest weight of each term in each block of ``size`` documents it occurs in."""
-
-    def __init__(self, shard: Shard, size: int):
-        self.blocks = -(-shard.n // size)
-        term = np.repeat(np.arange(len(shard.terms), dtype=np.uint32), np.diff(shard.starts))
-        block = shard.docs // np.uint16(size)
-        fresh = np.ones(len(block), bool)
-        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(fresh)
-        self.top = np.maximum.reduceat(shard.weight, at) if len(at) else shard.weight
-        self.block = block[at]
-        self.starts = np.searchsorted(term[at], np.arange(len(shard.terms) + 1))
-        #: Where the postings of each of these (term, block) entries start.
-        self.entries = np.append(at, len(block))
-        begins = np.arange(0, shard.dense.shape[1], size)
-        self.dense = np.maximum.reduceat(shard.dense, begins, axis=1) if len(begins) else (
-            np.zeros((len(shard.dense), 0)))
+class Batch:
+    """Queries that are scored together: the queries that have each of their terms, with weights,
+    and the best k results of each so far, a score of 0 where there is none."""
+
+    def __init__(
+        self, queries: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray,
+        few: bool, k: int,
+    ):
+        self.queries, self.few, self.k = queries, few, k
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
+        first = np.ones(len(term), bool)
+        first[1:] = term[1:] != term[:-1]
+        first = np.flatnonzero(first)
+        self.terms, self.starts = term[first], np.append(first, len(term))
+        self.ids = np.zeros((len(queries), k), np.int64)
+        self.scores = np.zeros((len(queries), k))
+
+    @property
+    def floor(self) -> np.ndarray:
+        """The score that a further result of each query has to reach."""
+        return self.scores[:, -1]
+
+    def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take further results of queries by their numbers."""
+        which, place = np.unique(query, return_inverse=True)
+        place = np.concatenate([np.repeat(np.arange(len(which)), self.k), place])
+        ids = np.concatenate([self.ids[which].ravel(), ids])
+        scores = np.concatenate([self.scores[which].ravel(), scores])
+        order = np.lexsort((ids, -scores, place))
+        first = np.searchsorted(place[order], np.arange(len(which)))
+        order = order[first[:, None] + np.arange(self.k)]
+        self.ids[which], self.scores[which] = ids[order], scores[order]
+
+
+def _runs(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs of ``count`` from ``low`` on, and which run each belongs to."""
+    at = np.repeat(low - (np.cumsum(count) - count), count)
+    at += np.arange(len(at))
+    return at, np.repeat(np.arange(len(low)), count)
+
+
+def _ranges(starts: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of terms ``t``, and which of ``t`` each belongs to."""
+    return _runs(starts[t], starts[t + 1] - starts[t])
 
 
 class Shard:
+    """Postings of an index row with their weights, by blocks of ``WIDE`` documents, in a block
+    by term."""
+
     def __init__(self, row: dict, mean_length: float):
-        n = self.n = int(row["n_docs"])
+        self.n = int(row["n_docs"])
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
         self.terms = np.frombuffer(row["terms"], "<u8")
-        starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
         docs = np.frombuffer(row["postings"], "<u2")
         times = np.frombuffer(row["counts"], "<u4")
         lengths = np.frombuffer(row["lengths"], "<u4")
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        weight = np.empty(len(docs))
+        #: In how many documents each term occurs.
+        self.often = np.diff(np.frombuffer(row["starts"], "<u4").astype(np.int64))
+        term = np.repeat(np.arange(len(self.terms), dtype=np.uint32), self.often)
+        block = (docs // np.uint16(WIDE)).astype(np.uint8)
+        order = np.argsort(block, kind="stable").astype(np.uint32)
+        self.cuts = np.append(0, np.cumsum(np.bincount(block, minlength=-(-self.n // WIDE))))
+        self.term, self.docs, times = term[order], docs[order], times[order]
+        del term, block, order
+        self.weight = np.empty(len(docs))
         for at in range(0, len(docs), POSTINGS):
             some = slice(at, at + POSTINGS)
-            np.divide(times[some] * (K1 + 1), norm[docs[some]] + times[some], out=weight[some])
-        self.blocks = (n + BLOCK - 1) // BLOCK
-        many = np.flatnonzero(np.diff(starts) * 10 > n)
-        self.row_of = np.full(len(self.terms) + 1, -1, np.int64)
-        self.row_of[many] = np.arange(len(many))
-        self.dense = np.zeros((len(many), self.blocks * BLOCK))
-        for r, t in enumerate(many):
-            at = slice(starts[t], starts[t + 1])
-            self.dense[r, docs[at]] = weight[at]
-        self.often = (self.dense > 0).sum(axis=1)
-        self.starts, self.docs, self.weight = starts, docs, weight
-        #: Postings of sparse terms that queries have, and how many of them were read.
+            tf = times[some]
+            np.divide(tf * (K1 + 1), norm[self.docs[some]] + tf, out=self.weight[some])
+        self.docs %= np.uint16(WIDE)
+        #: Postings of terms that queries have, and how many of them were read.
         self.postings = self.postings_read = 0
 
-    @cached_property
-    def dense32(self) -> np.ndarray:
-        return self.dense.astype(np.float32)
-
-    @cached_property
-    def small(self) -> Maxima:
-        return Maxima(self, BLOCK)
-
-    @cached_property
-    def wide(self) -> Maxima:
-        return Maxima(self, WIDE)
+    def blocks(self) -> Iterator[Block]:
+        for b in range(len(self.cuts) - 1):
+            yield Block(self, b)
 
     def numbers(self, terms: np.ndarray) -> np.ndarray:
         """The shard's numbers of ``terms``, -1 for those that it does not have."""
@@ -429,158 +465,184 @@ class Shard:
         t[t >= 0] = np.where(self.terms[t[t >= 0]] == terms[t >= 0], t[t >= 0], -1)
         return t
 
-    def commonest(self, t: np.ndarray) -> int:
-        """The most frequent dense row of terms ``t``."""
-        rows = self.row_of[t]
-        rows = rows[rows >= 0]
-        return int(rows[np.argmax(self.often[rows])]) if len(rows) else -1
-
-    @staticmethod
-    def _ranges(starts: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the entries of terms ``t``, and which of ``t`` each belongs to."""
-        low, count = starts[t], starts[t + 1] - starts[t]
-        which = np.repeat(np.arange(len(t)), count)
-        return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which], which
-
-    def _added(self, low: np.ndarray, high: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Sums over the postings from ``low`` to ``high`` of terms of weights ``w``, for each
-        document. Long runs are copied as they lie, short ones by their places."""
-        count = high - low
-        short = count < RUN
-        few = count[short]
-        at = np.repeat(low[short] - (np.cumsum(few) - few), few)
-        at += np.arange(len(at))
-        runs = [slice(a, b) for a, b in zip(low[~short].tolist(), high[~short].tolist(), strict=True)]
-        docs = np.concatenate([self.docs[at], *[self.docs[x] for x in runs]])
-        part = np.concatenate([self.weight[at], *[self.weight[x] for x in runs]])
-        part *= np.concatenate([np.repeat(w[short], few), np.repeat(w[~short], count[~short])])
-        return np.bincount(docs, part, self.dense.shape[1])
+    def kind(self, t: np.ndarray) -> tuple[int, bool]:
+        """The most frequent of terms ``t``, and whether more than ``FEW`` are not frequent."""
+        often = self.often[t]
+        most = int(t[np.argmax(often)]) if len(t) else -1
+        return most, int((often * OFTEN <= self.n).sum()) > FEW
 
     def search(self, queries: list[tuple], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, doc_ids, scores) of the best k of this shard for (query, terms, weights)."""
-        known = []
-        for query, terms, weights in queries:
-            t = self.numbers(terms)
-            known.append((query, t[t >= 0], weights[t >= 0]))
-        yield from self.best(known, k, np.zeros(len(known)))
-
-    def best(
-        self, queries: list[tuple], k: int, floor: np.ndarray
-    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The same for terms by their numbers, without what is below each query's ``floor``."""
-        few = np.array([(self.row_of[t] < 0).sum() <= FEW for _, t, _ in queries], bool)
-        for some, way in ((few, self._few), (~few, self._many)):
-            if some.any():
-                chosen = [q for q, yes in zip(queries, some, strict=True) if yes]
-                yield from way(chosen, k, floor[some])
-
-    def _many(self, queries: list[tuple], k: int, floor: np.ndarray):
-        """Queries of many words: wide blocks, dense rows with 32 bits, then the best again."""
-        wide, size = self.wide, len(self.dense)
-        common = np.zeros((len(queries), size))
-        bound = np.zeros((len(queries), wide.blocks))
-        sparse = []
-        for i, (_, t, w) in enumerate(queries):
-            row = self.row_of[t]
-            common[i, row[row >= 0]] = w[row >= 0]
-            t, w = t[row < 0], w[row < 0]
-            at, which = self._ranges(wide.starts, t)
-            bound[i] = np.bincount(wide.block[at], wide.top[at] * w[which], wide.blocks)
-            sparse.append((self.starts[t], self.starts[t + 1], w))
-        bound += common @ wide.dense
-        wanted = (bound + 10.0**-DIGITS >= floor[:, None]) & (bound > 0)
-        rows = np.flatnonzero(common.any(axis=0))
-        dense, weights = self.dense32[rows], common[:, rows].astype(np.float32)
-        found = np.full((len(queries), self.dense.shape[1]), -1.0, np.float32)
-        for block in np.flatnonzero(wanted.any(axis=0)):
-            at = slice(block * WIDE, (block + 1) * WIDE)
-            found[:, at] = weights @ dense[:, at]
+        names, lists, weights = zip(*queries, strict=True)
+        terms, term = np.unique(np.concatenate(lists), return_inverse=True)
+        row = {
+            "ids": np.arange(len(names)), "bounds": np.cumsum([0, *map(len, lists)]),
+            "words": terms, "word": term.astype("<u4"), "weights": np.concatenate(weights),
+        }
+        block = QueryBlock({c: x.tobytes() for c, x in row.items()}, k)
+        block.meet(self)
+        for batch in block.batches:
+            for q, ids, scores in zip(batch.queries, batch.ids, batch.scores, strict=True):
+                yield names[q], ids[scores > 0], scores[scores > 0]
+
+
+class Block:
+    """A block of ``WIDE`` documents: an entry for each term that occurs, its postings and the
+    greatest of their weights; and the same for each of its parts of ``BLOCK`` documents."""
+
+    def __init__(self, shard: Shard, b: int):
+        some = slice(shard.cuts[b], shard.cuts[b + 1])
+        self.shard, self.docs, self.weight = shard, shard.docs[some], shard.weight[some]
+        self.width = min(WIDE, shard.n - b * WIDE)
+        self.doc_ids = shard.doc_ids[b * WIDE : b * WIDE + self.width]
+        term = shard.term[some]
+        fresh = np.ones(len(term), bool)
+        fresh[1:] = term[1:] != term[:-1]
+        self.begin = np.flatnonzero(fresh)
+        self.terms, self.count = term[self.begin], np.diff(np.append(self.begin, len(term)))
+        self.top = np.maximum.reduceat(self.weight, self.begin) if len(term) else self.weight
+        self.fresh = fresh
+
+    @cached_property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Where the parts of each entry start, and the number, the first posting, the number of
+        postings and the greatest weight of each part."""
+        part = self.docs // np.uint16(BLOCK)
+        fresh = self.fresh.copy()
+        fresh[1:] |= part[1:] != part[:-1]
+        begin = np.flatnonzero(fresh)
+        top = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
+        starts = np.append(np.searchsorted(begin, self.begin), len(begin))
+        return starts, part[begin], begin, np.diff(np.append(begin, len(part))), top
+
+    def places(self, number: np.ndarray) -> np.ndarray:
+        """The entries of terms by their numbers in the shard, -1 where there is none."""
+        place = np.full(len(self.shard.terms) + 1, -1, np.int32)
+        place[self.terms] = np.arange(len(self.terms))
+        return place[number]
+
+    def add(self, batch: Batch, places: np.ndarray) -> None:
+        """Add to the best of ``batch`` what this block has.
+
+        Only queries whose bound reaches their worst result so far are scored, and of those of few
+        words only such parts. What many queries share with many documents is multiplied as
+        matrices of 32 bits, all else is added up posting by posting; what comes within the error
+        of the k-th best is multiplied again with 64 bits.
+        """
+        entry = places[batch.terms]
+        given = np.flatnonzero(entry >= 0)
+        entry = entry[given]
+        low = batch.starts[given]
+        pair, of = _runs(low, batch.starts[given + 1] - low)
+        query, weight = batch.owner[pair], batch.weight[pair]
+        self.shard.postings += int(self.count[entry][of].sum())
+        parts = 1
+        if batch.few:
+            parts = -(-self.width // BLOCK)
+            starts, part, begin, counts, top = self.parts
+            piece, mine = _ranges(starts, entry[of])
+            into = query[mine] * parts + part[piece]
+            bound = np.bincount(into, weight[mine] * top[piece], len(batch.queries) * parts)
+        else:
+            bound = np.bincount(query, weight * self.top[entry][of], len(batch.queries))
+        bound = bound.reshape(-1, parts)
+        wanted = (bound + 10.0**-DIGITS >= batch.floor[:, None]) & (bound > 0)
+        queries = np.flatnonzero(wanted.any(axis=1))
+        if not len(queries):
+            return
+        if len(queries) < len(batch.queries):
+            number = np.full(len(batch.queries), -1)
+            number[queries] = np.arange(len(queries))
+            query = number[query]
+            mine = query >= 0
+            query, weight, of = query[mine], weight[mine], of[mine]
+            wanted = wanted[queries]
+        times = np.bincount(of, minlength=len(entry))
+        low, count = self.begin[entry], self.count[entry]
+        many = times * count * SPARE > len(queries) * self.width
+        # as matrices
+        dense = np.zeros((int(many.sum()), self.width))
+        run, row = _runs(low[many], count[many])
+        dense[row, self.docs[run]] = self.weight[run]
+        common = np.zeros((len(queries), len(dense)))
+        mine = many[of]
+        common[query[mine], (np.cumsum(many) - 1)[of[mine]]] = weight[mine]
+        total = common.astype(np.float32) @ dense.astype(np.float32)
+        self.shard.postings_read += int((times * count)[many].sum())
+        # posting by posting
+        mine = np.flatnonzero(~mine)
+        query, weight, of = query[mine], weight[mine], of[mine]
+        if batch.few:
+            piece, mine = _ranges(starts, entry[of])
+            read = wanted[query[mine], part[piece]]
+            piece, mine = piece[read], mine[read]
+            query, weight, low, count = query[mine], weight[mine], begin[piece], counts[piece]
+        else:
+            low, count = low[of], count[of]
+        rest = self._added(query, weight, low, count, len(queries))
+        self.shard.postings_read += int(count.sum())
+        total += rest
+        if not wanted.all():
+            total[~np.repeat(wanted, BLOCK if batch.few else WIDE, axis=1)[:, : self.width]] = 0
+        self._first(batch, queries, total, rest, common, dense)
+
+    def _added(
+        self, query: np.ndarray, weight: np.ndarray, low: np.ndarray, count: np.ndarray,
+        queries: int,
+    ) -> np.ndarray:
+        """Sums over runs of postings, each times a weight, for each query and document. Runs are
+        taken some at a time, so that the arrays stay in the processor's cache."""
+        ends = np.cumsum(count)
+        low = low - (ends - count)
+        base = query * np.int64(self.width)
+        sums = np.zeros(queries * self.width)
+        cuts = np.searchsorted(ends, np.arange(0, count.sum(), POSTINGS)).tolist() + [len(ends)]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            some, times = slice(first, last), count[first:last]
+            start = ends[first - 1] if first else 0
+            run = np.repeat(low[some], times)
+            run += np.arange(start, start + len(run))
+            into = np.repeat(base[some], times)
+            into += self.docs[run]
+            value = self.weight[run]
+            value *= np.repeat(weight[some], times)
+            np.add.at(sums, into, value)
+        return sums.reshape(queries, self.width)
+
+    def _first(
+        self, batch: Batch, queries: np.ndarray, total: np.ndarray, rest: np.ndarray,
+        common: np.ndarray, dense: np.ndarray,
+    ) -> None:
+        """Add up again with 64 bits what may be among the best k by ``total``."""
         # What sums of 32 bits may be off by, as a share.
-        slack = 4 * (size + 8) * 2.0**-24
-        for i, (query, _, _) in enumerate(queries):
-            low, high, w = sparse[i]
-            self.postings += int((high - low).sum())
-            if not wanted[i].any():
-                continue
-            self.postings_read += int((high - low).sum())
-            part = self._added(low, high, w)
-            total = part + found[i]
-            if not wanted[i].all():
-                total[np.repeat(~wanted[i], WIDE)[: len(total)]] = -1
-            # k blocks have a document each that reaches the k-th best of their maxima
-            limit, tops = floor[i], total.reshape(-1, BLOCK).max(axis=1)
-            if len(tops) >= k:
-                limit = max(limit, np.partition(tops, len(tops) - k)[len(tops) - k])
-            at = np.flatnonzero((total >= limit * (1 - slack) - 2 * 10.0**-DIGITS) & (total > 0))
-            mine = np.flatnonzero(common[i])
-            scores = part[at] + common[i, mine] @ self.dense[np.ix_(mine, at)]
-            scores = np.round(scores, DIGITS)
-            at, scores = at[scores > 0], scores[scores > 0]
-            first = np.lexsort((self.doc_ids[at], -scores))[:k]
-            yield query, self.doc_ids[at[first]], scores[first]
-
-    def _few(self, queries: list[tuple], k: int, floor: np.ndarray):
-        """Queries of few words: small blocks, those with the highest bounds first."""
-        small = self.small
-        size = self.blocks * BLOCK
-        common = np.zeros((len(queries), len(self.dense)))
-        bound = np.zeros((len(queries), self.blocks))
-        entries = []
-        for i, (_, t, w) in enumerate(queries):
-            row = self.row_of[t]
-            common[i, row[row >= 0]] = w[row >= 0]
-            t, w = t[row < 0], w[row < 0]
-            at, which = self._ranges(small.starts, t)
-            bound[i] = np.bincount(small.block[at], small.top[at] * w[which], self.blocks)
-            entries.append((at, w[which]))
-            self.postings += int((self.starts[t + 1] - self.starts[t]).sum())
-        bound += common @ small.dense
-        rows = np.flatnonzero(common.any(axis=0))
-        scores = np.full((len(queries), self.blocks, BLOCK), -1.0)
-
-        def score(wanted: np.ndarray) -> None:
-            """Score every block for the queries that want it, and for no other."""
-            blocks = np.flatnonzero(wanted.any(axis=0))
-            places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = np.empty((len(queries), len(places)))
-            for at in range(0, len(places), COLUMNS):
-                some = places[at : at + COLUMNS]
-                found[:, at : at + COLUMNS] = common[:, rows] @ self.dense[np.ix_(rows, some)]
-            found = found.reshape(len(queries), len(blocks), BLOCK)
-            column = np.zeros(self.blocks, np.int64)
-            column[blocks] = np.arange(len(blocks))
-            for i, (at, w) in enumerate(entries):
-                mine = wanted[i, small.block[at]]
-                at, w = at[mine], w[mine]
-                some, which = self._ranges(small.entries, at)
-                self.postings_read += len(some)
-                docs = self.docs[some]
-                into = column[docs // BLOCK] * BLOCK + docs % BLOCK
-                found[i] += np.bincount(
-                    into, self.weight[some] * w[which], len(places)
-                ).reshape(len(blocks), BLOCK)
-                scores[i, blocks[wanted[i, blocks]]] = found[i, wanted[i, blocks]]
-
-        first = min(self.blocks, max(2, -(-2 * k // BLOCK)))
-        done = np.zeros(bound.shape, bool)
-        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        np.put_along_axis(done, best, True, axis=1)
-        score(done)
-        k = min(k, size)
-        flat = scores.reshape(len(queries), size)
-        kth = np.partition(flat, size - k, axis=1)[:, size - k]
-        kth = np.maximum(kth, floor)
-        needed = (bound + 10.0**-DIGITS >= kth[:, None]) & (bound > 0) & ~done
-        if needed.any():
-            score(needed)
-        scores = flat
-        scores = np.round(scores[:, : self.n], DIGITS)
-        k = min(k, self.n)
-        kth = np.partition(scores, self.n - k, axis=1)[:, self.n - k]
-        for i, query in enumerate(queries):
-            at = np.flatnonzero((scores[i] >= kth[i]) & (scores[i] > 0))
-            best = at[np.lexsort((self.doc_ids[at], -scores[i][at]))][:k]
-            yield query[0], self.doc_ids[best], scores[i][best]
+        slack = 4 * (len(dense) + 8) * 2.0**-24
+
+        def least(limit: np.ndarray) -> np.ndarray:
+            limit = limit * (1 - slack) - 2 * 10.0**-DIGITS
+            return np.maximum(limit, np.finfo(np.float32).tiny).astype(np.float32)
+
+        limit, k = least(batch.floor[queries]), batch.k
+        at = np.flatnonzero(total >= limit[:, None])
+        query = at // self.width
+        more = np.flatnonzero(np.bincount(query, minlength=len(queries)) > k)
+        if len(more):
+            kth = np.partition(total[more], self.width - k, axis=1)[:, self.width - k]
+            limit[more] = np.maximum(limit[more], least(kth.astype(np.float64)))
+            at = at[total.ravel()[at] >= limit[query]]
+        if not len(at):
+            return
+        query, doc = np.divmod(at, self.width)
+        scores = rest.ravel()[at]
+        if len(at) * 16 > total.size:  # many documents that are alike
+            scores += (common @ dense).ravel()[at]
+        else:
+            step = max(1, CELLS // max(1, len(dense)))
+            for i in range(0, len(at), step):
+                some = slice(i, i + step)
+                scores[some] += np.einsum("ij,ji->i", common[query[some]], dense[:, doc[some]])
+        scores = np.round(scores, DIGITS)
+        some = scores > 0
+        batch.take(queries[query[some]], self.doc_ids[doc[some]], scores[some])
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

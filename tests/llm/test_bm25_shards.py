@@ -144,3 +144,73 @@ def test_the_index_is_not_shuffled(spark, monkeypatch):
     rows = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
     assert rows == [tuple(r) for r in bm25.top_k(index, asked).orderBy("query_id", "rank").collect()]
     assert len(rows) == 200
+
+
+def _long_queries(n):
+    """A shard's row of ``n`` texts, a twelfth of which share 40 words each, and as queries every
+    20th of its texts with all its words."""
+    given = [(t + " " + " ".join(f"g{i % 12}y{j}" for j in range(40))).encode() for i, t in texts(n)]
+    doc, names, counts = bm25.counted_pairs(given)
+    queries = []
+    for q in range(0, n, 20):
+        mine = np.flatnonzero(doc == q)
+        order = np.argsort(names[mine])
+        queries.append((q, names[mine][order], counts[mine][order].astype(float)))
+    row = bm25.index_row(0, np.arange(n), doc, names, counts)
+    lengths = np.bincount(doc, counts, minlength=n)
+    norm = bm25.K1 * (1 - bm25.B + bm25.B * lengths / 60.0)
+    weight = counts * (bm25.K1 + 1) / (counts + norm[doc])
+    return row, queries, (doc, names, weight)
+
+
+def test_shared_terms_are_multiplied_once_for_a_batch(monkeypatch):
+    """Before, each query added up alone all postings of terms in a tenth of the shard or less."""
+    row, queries, (doc, names, weight) = _long_queries(3000)
+    shard = bm25.Shard(row, 60.0)
+    one_by_one = []
+    added = bm25.Block._added
+
+    def counted(self, query, weight, low, count, queries):
+        one_by_one.append(int(count.sum()))
+        return added(self, query, weight, low, count, queries)
+
+    monkeypatch.setattr(bm25.Block, "_added", counted)
+    results = dict((q, (ids, scores)) for q, ids, scores in shard.search(queries, 10))
+    assert len(results) == len(queries)
+    often = dict(zip(shard.terms.tolist(), shard.often.tolist(), strict=True))
+    alone = sum(often[t] for _, terms, _ in queries for t in terms.tolist() if often[t] <= 300)
+    assert 0 < sum(one_by_one) < alone / 2
+    for q, terms, times in queries:
+        at = np.minimum(np.searchsorted(terms, names), len(terms) - 1)
+        want = np.where(terms[at] == names, weight * times[at], 0.0)
+        want = np.round(np.bincount(doc, want, 3000), bm25.DIGITS)
+        best = np.lexsort((np.arange(3000), -want))[:10]
+        assert results[q][0].tolist() == best.tolist()
+        assert np.allclose(results[q][1], want[best], rtol=0, atol=2e-6)
+
+
+def test_settings_of_the_search_change_no_result(monkeypatch):
+    row, queries, _ = _long_queries(700)
+
+    def found():
+        rows = bm25.Shard(row, 60.0).search([*queries, (-1, np.zeros(0, np.uint64), np.zeros(0))], 10)
+        return {q: (ids.tolist(), scores.tolist()) for q, ids, scores in rows}
+
+    want = found()
+    assert want[-1] == ([], []) and len(want) == 36
+    for name, value in (
+        ("BATCH", 3), ("BATCH_TERMS", 1), ("POSTINGS", 50), ("CELLS", 1), ("WIDE", 64),
+        ("SPARE", 0), ("SPARE", 10**9), ("FEW", 1000),
+    ):
+        with monkeypatch.context() as changed:
+            changed.setattr(bm25, name, value)
+            assert found() == want, name
+
+
+def test_documents_that_are_alike_are_ranked_by_id():
+    given = [b"one text that many hold"] * 5000 + [b"another text"] * 20
+    doc, names, counts = bm25.counted_pairs(given)
+    shard = bm25.Shard(bm25.index_row(0, np.arange(5020)[::-1], doc, names, counts), 4.0)
+    _, terms, times = bm25.counted_pairs([given[0]])
+    for _, ids, scores in shard.search([(0, np.sort(terms), times.astype(float))] * 2, 10):
+        assert ids.tolist() == [*range(20, 30)] and len(set(scores.tolist())) == 1
